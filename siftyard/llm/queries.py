@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their DuckDB SQL, for the driver's entry module."""
 
-from siftyard.llm import bpe, decontaminate
+from siftyard.llm import bpe, decontaminate, langid, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_bpe": bpe.op2_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_langid": langid.op10_langid,
 }
 
 ORACLES = {
