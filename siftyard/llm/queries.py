@@ -1,14 +1,16 @@
 """Queries of the training-data operators and their DuckDB SQL, for the driver's entry module."""
 
-from siftyard.llm import bpe, decontaminate, langid, toxicity
+from siftyard.llm import bpe, decontaminate, langid, near_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_bpe": bpe.op2_bpe,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_langid": langid.op10_langid,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
 }
