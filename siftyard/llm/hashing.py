@@ -44,7 +44,7 @@ class Spans:
         np.cumsum(w * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
-        return mix((self.sums[start + size] - self.sums[start]) * self.down[start] + mix(np.asarray(size, _U)))
+        return mix((self.sums[start + size] - self.sums[start]) * self.down[start] + mix(np.atleast_1d(size).astype(_U)))
 
 
 def leftmost_minimum(h: np.ndarray, w: int) -> np.ndarray:

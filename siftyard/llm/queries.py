@@ -1,11 +1,12 @@
 """Queries of the training-data operators and their DuckDB SQL, for the driver's entry module."""
 
-from siftyard.llm import bpe, decontaminate, langid, near_dedup, toxicity
+from siftyard.llm import bpe, decontaminate, langid, near_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_bpe": bpe.op2_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_langid": langid.op10_langid,
 }
@@ -13,4 +14,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
 }
