@@ -233,36 +233,27 @@ def steps(texts: list[str]):
         yield own
 
 
-def bpe_roundtrip(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: tokens, digest of the ids, digest of the decoded text. One narrow pass, no shuffle."""
+def bpe_roundtrip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Per document: tokens, digest of the ids, digest of the decoded text, and the ids if asked for. One narrow pass,
+    no shuffle."""
 
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
-            n, ids_hash, text_hash = [], [], []
+            n, ids_hash, text_hash, all_ids = [], [], [], []
             for texts in steps([x or "" for x in batch.column("text").to_pylist()]):
                 for ids in bpe.encode_batch(texts):
                     n.append(len(ids) // 4)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())
                     text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-
-
-def bpe_encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """The ids themselves: doc_id, ids array<int>."""
-
-    def run(batches):
-        bpe = vocabulary(path)
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for s in steps([x or "" for x in batch.column(column).to_pylist()]) for x in bpe.encode_batch(s)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, "doc_id long, ids array<int>")
+                    if with_ids:
+                        all_ids.append(np.frombuffer(ids, "<i4"))
+            out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            out += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    schema = SCHEMA + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def default_path() -> str:

@@ -172,6 +172,23 @@ def decontaminate(
     ).drop("copy")
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` with __contaminated: the form for filters. Every block of the benchmark is one more narrow pass."""
+    out = docs.withColumn("__contaminated", F.lit(False))
+    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+        own = docs.sparkSession.sparkContext.broadcast((f"{id(out)}-{k}", items))
+
+        def scan(batches, own=own):
+            matcher = _matcher(own, window)
+            for batch in batches:
+                before = batch.column("__contaminated").to_pylist()
+                found = [was or next(matcher.find(item_words(x)), None) is not None for was, x in zip(before, utf8(batch, "text"), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.bool_())], batch.schema.names)
+
+        out = out.mapInArrow(scan, out.schema)
+    return out
+
+
 def _batch(doc_id, out) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
