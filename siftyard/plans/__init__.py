@@ -1,7 +1,6 @@
 """Queries by name, with the DuckDB SQL that each must equal."""
 
-from siftyard.plans.dedup import ORACLES as _DEDUP_SQL
-from siftyard.plans.dedup import QUERIES as _DEDUP
+from siftyard.plans import dedup, keyed, scalars
 
-QUERIES = {**_DEDUP}
-ORACLES = {**_DEDUP_SQL}
+QUERIES = {**dedup.QUERIES, **keyed.QUERIES, **scalars.QUERIES}
+ORACLES = {**dedup.ORACLES, **keyed.ORACLES, **scalars.ORACLES}

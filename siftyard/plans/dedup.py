@@ -1,21 +1,195 @@
-"""Deduplication queries."""
+"""Fragments: chunking, keys, deduplication, collisions, manifests, blocks, listings, streams."""
+
+import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from siftyard.operators import blocks, chunking, dedup, ids
+from siftyard.session import shared_dir, table
+from siftyard.sources import files
+from siftyard.streaming import incremental
+
+BLOCK_DOCS = 100
+
+
+def _docs(spark, sf_dir):
+    """Whole documents as fragments, in blocks of BLOCK_DOCS ids."""
+    block = F.floor(F.col("doc_id") / BLOCK_DOCS).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", block.alias("block"), dedup.fragment_key(F.col("text")).alias("key"))
 
 
 def dedup_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.col("text"), 256).alias("key"))
-    firsts = docs.groupBy("key").agg(F.min("doc_id").alias("first_doc"))
-    ids = firsts.withColumn("fragment_id", F.row_number().over(W.orderBy("first_doc")).cast("long"))
-    return docs.join(ids, "key").select("doc_id", "fragment_id", (F.col("doc_id") == F.col("first_doc")).alias("is_new"))
+    docs = _docs(spark, sf_dir).drop("block")
+    numbered = ids.dense_ids(dedup.first_seen(docs, "key", "doc_id"), ["first"], "fragment_id", 1)
+    return docs.join(numbered, "key").select("doc_id", "fragment_id", (F.col("doc_id") == F.col("first")).alias("is_new"))
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_index"), F.col("html").alias("payload"))
+
+
+def cdc_chunks(spark, sf_dir):
+    found = chunking.fragments(_pages(spark, sf_dir), min_size=1024, average=7)
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.hex("payload").alias("h"))))
+    whole = found.groupBy("file_index").agg(F.sum("size").alias("bytes"), parts.alias("p"))
+    return whole.select("file_index", "bytes", F.sha2(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), 256).alias("sha"))
+
+
+def fragment_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", dedup.fragment_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("size"))
+
+
+def dedup_fragments(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    known = docs.filter("doc_id % 10 = 3").select("key").distinct()
+    return dedup.mark_new(docs.filter("doc_id % 10 <> 3"), "key", "doc_id", known).select("doc_id", "key", "is_new")
+
+
+def block_keys(spark, sf_dir):
+    return dedup.flush_ids(_docs(spark, sf_dir), "key", "block", "doc_id")
+
+
+def selector_routing(spark, sf_dir):
+    """Two selectors with open blocks of their own; low blocks are flushed before high ones."""
+    docs = _docs(spark, sf_dir).withColumn("block", F.col("block") * 2 + F.col("doc_id") % 2)
+    return dedup.flush_ids(docs, "key", "block", "doc_id").withColumn("selector", F.when(F.col("block") % 2 == 0, "L").otherwise("H"))
+
+
+def dedup_counts(spark, sf_dir):
+    return dedup.counts(_docs(spark, sf_dir).withColumn("selector", F.col("doc_id") % 2), "key", "selector")
+
+
+def known_keys_load(spark, sf_dir):
+    """The key table is written, read back and checked for uniqueness."""
+    path = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+    block_keys(spark, sf_dir).write.parquet(path)
+    loaded = spark.read.parquet(path)
+    return loaded.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("key").alias("n_keys"), F.max("id").alias("last_id"))
+
+
+def prefix_collisions(spark, sf_dir):
+    return dedup.prefix_collisions(_docs(spark, sf_dir), "key", 12)
+
+
+def two_stage_key_match(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    known = docs.filter("doc_id % 10 = 3").select("key").distinct()
+    return dedup.two_stage_match(docs.filter("doc_id % 10 <> 3").select("doc_id", "key"), known, "key", 12)
+
+
+def merge_join_verify(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    keys = dedup.flush_ids(docs, "key", "block", "doc_id")
+    return dedup.merge_verify(dedup.fragment_ids(docs, keys, "key").select("doc_id", "key", "id"), keys).select("doc_id", "id", "intact")
+
+
+def file_manifest(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return dedup.manifests(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_partkey")
+
+
+def drop_bad_files(spark, sf_dir):
+    bad = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return dedup.drop_files(file_manifest(spark, sf_dir), bad, "l_orderkey")
+
+
+def keys_fingerprint(spark, sf_dir):
+    keys = dedup.flush_ids(_docs(spark, sf_dir), "key", "block", "doc_id")
+    own = keys.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "key"))), lambda x: x["key"]).alias("keys"))
+    return own.select("block", dedup.running_fingerprint(F.col("keys"), F.lit("")).alias("fingerprint"))
+
+
+def block_packing(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 250).cast("long").alias("part"), "doc_id", F.octet_length("text").alias("n"))
+    return blocks.pack_by_size(rows, "part", "doc_id", "n", 65536)
+
+
+def block_sizes(spark, sf_dir):
+    return block_packing(spark, sf_dir).groupBy("part", "block").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("bytes"))
+
+
+def block_zstd(spark, sf_dir):
+    """Blocks packed by the compressor's own savings, and unpacked again: nothing may be lost."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 250).cast("long").alias("part"), "doc_id", "text")
+    packed = blocks.pack_zstd(rows, "part", "doc_id", "text", 262144)
+    back = packed.select("group", "n", F.octet_length(blocks.unpack_zstd("data")).cast("long").alias("bytes"))
+    return back.groupBy("group").agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"))
+
+
+def bwt_codec(spark, sf_dir):
+    back = blocks.bwt_decompress(blocks.bwt_compress(F.col("text").cast("binary")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(back, 256).alias("sha"))
+
+
+def block_headers(spark, sf_dir):
+    own = block_sizes(spark, sf_dir)
+    date, index = F.lit(20240229010203), F.col("part") * 1000 + F.col("block")
+    return own.select(index.alias("idx"), blocks.fingerprint_text(date, F.lit("d"), index).alias("fingerprint"), "n_docs", (F.col("bytes") + 66).alias("block_size"))
+
+
+def block_fingerprint_text(spark, sf_dir):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "d").when(F.col("o_orderkey") % 3 == 1, "i").otherwise("h")
+    date = F.date_format("o_orderdate", "yyyyMMddHHmmss").cast("long")
+    text = table(spark, sf_dir, "orders").select(blocks.fingerprint_text(date, kind, F.col("o_orderkey")).alias("text"))
+    return text.select("text", *blocks.fingerprint_fields(F.col("text")))
+
+
+def fixed_width_scan(spark, sf_dir):
+    return files.fixed_width(table(spark, sf_dir, "benchmark"), "text", 48).select("item_id", "idx", F.hex("record").alias("record"))
+
+
+def file_listing(spark, sf_dir):
+    return files.list_files(spark, sf_dir)
+
+
+def file_catalog(spark, sf_dir):
+    """Pages as files: the folder of the address is a dictionary id."""
+    listing = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*/)", 1).alias("path"), F.regexp_extract("url", "([^/]*)$", 1).alias("name"), F.octet_length("html").cast("long").alias("size"))
+    return files.file_catalog(listing, ids.dictionary(listing, "path", "page_id"))
+
+
+def streaming_dedup(spark, sf_dir):
+    """Document keys with dense ids, from a stream in micro-batches."""
+    path = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keys = incremental.KeyTable(spark, f"{run}/keys")
+    incremental.dedup_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path), keys, f"{run}/state")
+    return keys.read().select("key", "id")
+
 
+QUERIES = {f.__name__: f for f in (dedup_documents, cdc_chunks, fragment_keys, dedup_fragments, block_keys, selector_routing, dedup_counts, known_keys_load, prefix_collisions, two_stage_key_match, merge_join_verify, file_manifest, drop_bad_files, keys_fingerprint, block_packing, block_sizes, block_zstd, bwt_codec, block_headers, block_fingerprint_text, fixed_width_scan, file_listing, file_catalog, streaming_dedup)}
 
-QUERIES = {"dedup_documents": dedup_documents}
+_D = f"d AS (SELECT doc_id, doc_id // {BLOCK_DOCS} AS block, sha256(text) AS key FROM documents)"
+_IDS = "i AS (SELECT key, min(block) AS block, min(doc_id) AS first, row_number() OVER (ORDER BY min(block), min(doc_id)) AS id FROM d GROUP BY key)"
+_PACK = """RECURSIVE s AS (SELECT doc_id // 250 AS part, doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS r FROM documents),
+p AS (SELECT part, doc_id, size, r, CAST(0 AS BIGINT) AS block, size AS filled FROM s WHERE r = 1
+      UNION ALL SELECT s.part, s.doc_id, s.size, s.r, CASE WHEN p.filled > 0 AND p.filled + s.size > 65536 THEN p.block + 1 ELSE p.block END,
+                       CASE WHEN p.filled > 0 AND p.filled + s.size > 65536 THEN s.size ELSE p.filled + s.size END FROM p JOIN s ON s.part = p.part AND s.r = p.r + 1)"""
+_MANIFEST = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) > 0"
+_SIZES = "z AS (SELECT part, block, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY 1, 2)"
 ORACLES = {
-    "dedup_documents": """
-WITH k AS (SELECT sha256(text) AS key, min(doc_id) AS first_doc FROM documents GROUP BY 1),
-i AS (SELECT key, first_doc, row_number() OVER (ORDER BY first_doc) AS fragment_id FROM k)
-SELECT d.doc_id, i.fragment_id, d.doc_id = i.first_doc AS is_new FROM documents d JOIN i ON i.key = sha256(d.text)
-"""
+    "dedup_documents": "WITH k AS (SELECT sha256(text) AS key, min(doc_id) AS first_doc FROM documents GROUP BY 1), i AS (SELECT key, first_doc, row_number() OVER (ORDER BY first_doc) AS fragment_id FROM k) SELECT d.doc_id, i.fragment_id, d.doc_id = i.first_doc AS is_new FROM documents d JOIN i ON i.key = sha256(d.text)",
+    "cdc_chunks": "SELECT page_id AS file_index, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha FROM pages",
+    "fragment_keys": "SELECT doc_id, sha256(text) AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents",
+    "dedup_fragments": f"WITH {_D} SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1 AND key NOT IN (SELECT key FROM d WHERE doc_id % 10 = 3) AS is_new FROM d WHERE doc_id % 10 <> 3",
+    "block_keys": f"WITH {_D}, {_IDS} SELECT key, block, first, id FROM i",
+    "selector_routing": f"WITH {_D.replace(f'doc_id // {BLOCK_DOCS} AS block', f'(doc_id // {BLOCK_DOCS}) * 2 + doc_id % 2 AS block')}, f AS (SELECT key, min(block) AS block FROM d GROUP BY key), g AS (SELECT key, block, min(doc_id) AS first FROM d JOIN f USING (key, block) GROUP BY 1, 2) SELECT key, block, first, row_number() OVER (ORDER BY block, first) AS id, CASE WHEN block % 2 = 0 THEN 'L' ELSE 'H' END AS selector FROM g",
+    "dedup_counts": f"WITH {_D} SELECT doc_id % 2 AS selector, count(*) AS n_fragments, count(DISTINCT key) AS n_keys FROM d GROUP BY 1",
+    "known_keys_load": f"WITH {_D} SELECT count(DISTINCT key) AS n_rows, count(DISTINCT key) AS n_keys, count(DISTINCT key) AS last_id FROM d",
+    "prefix_collisions": f"WITH {_D} SELECT substr(key, 1, 3) AS prefix, count(DISTINCT key) AS n_keys FROM d GROUP BY 1 HAVING count(DISTINCT key) > 1",
+    "two_stage_key_match": f"WITH {_D}, k AS (SELECT DISTINCT key FROM d WHERE doc_id % 10 = 3) SELECT d.doc_id, d.key, k.key AS known_key, d.key = k.key AS verified FROM d JOIN k ON substr(d.key, 1, 3) = substr(k.key, 1, 3) WHERE d.doc_id % 10 <> 3",
+    "merge_join_verify": f"WITH {_D}, {_IDS} SELECT d.doc_id, i.id, true AS intact FROM d JOIN i USING (key)",
+    "file_manifest": _MANIFEST,
+    "drop_bad_files": f"SELECT * FROM ({_MANIFEST}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
+    "keys_fingerprint": f"WITH {_D}, {_IDS}, l AS (SELECT block, list(key ORDER BY id) AS ks FROM i GROUP BY block) SELECT block, list_reduce(list_prepend('', ks), lambda a, k: sha256(a || k)) AS fingerprint FROM l",
+    "block_packing": f"WITH {_PACK} SELECT part, doc_id, size, block FROM p",
+    "block_sizes": f"WITH {_PACK}, {_SIZES} SELECT part, block, n_docs, bytes FROM z",
+    "block_zstd": 'SELECT doc_id // 250 AS "group", count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1',
+    "bwt_codec": "SELECT doc_id, sha256(text) AS sha FROM documents",
+    "block_headers": f"WITH {_PACK}, {_SIZES} SELECT part * 1000 + block AS idx, '##20240229010203d' || lpad(CAST(part * 1000 + block AS VARCHAR), 10, '0') || '##' AS fingerprint, n_docs, bytes + 66 AS block_size FROM z",
+    "block_fingerprint_text": "WITH o AS (SELECT CAST(strftime(o_orderdate, '%Y%m%d%H%M%S') AS BIGINT) AS date, CASE o_orderkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'i' ELSE 'h' END AS kind, o_orderkey AS idx FROM orders) SELECT '##' || lpad(CAST(date AS VARCHAR), 14, '0') || kind || lpad(CAST(idx AS VARCHAR), 10, '0') || '##' AS text, date, kind, idx FROM o",
+    "fixed_width_scan": "WITH b AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), r AS (SELECT item_id, h, unnest(generate_series(0, (length(h) - 1) // 96)) AS i FROM b WHERE length(h) > 0) SELECT item_id, CAST(i AS INTEGER) AS idx, substr(h, 1 + i * 96, 96) AS record FROM r",
+    "file_catalog": "WITH l AS (SELECT page_id, regexp_extract(url, '^(.*/)', 1) AS path, regexp_extract(url, '([^/]*)$', 1) AS name, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages), d AS (SELECT path, row_number() OVER (ORDER BY min(page_id)) - 1 AS d_index FROM l GROUP BY path) SELECT d_index, size, name FROM l JOIN d USING (path)",
+    "streaming_dedup": "SELECT sha256(text) AS key, row_number() OVER (ORDER BY min(doc_id)) AS id FROM documents GROUP BY 1",
 }
