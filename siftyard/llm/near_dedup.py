@@ -5,8 +5,8 @@ over 128 buckets; a register keeps the leading zeros (6 bits) and ten mantissa b
 registers borrow from others in an order fixed for each (optimal densification); (3) texts with one set are one node;
 (4) four registers are a band, 32 bands; nodes that share a band meet; (5) in each band's bucket the most central node is
 the hub, and every other node is compared with it: first by the collision-corrected Jaccard estimate of the registers,
-then on the full sets; (6) components; (7) whatever met in a bucket and is in different components still is compared pair
-by pair, the smaller side against the rest, so that no link is lost to the choice of hubs; (8) components again.
+then on the full sets; (6) components; (7) whatever met and is in different components still is compared, block by block, so
+that no link is lost to the choice of hubs; (8) components again.
 
 A band is missed by a pair of similarity 0.8 with probability (1 - 0.8**4)**32 = 5e-8. The estimate drops pairs below
 the threshold less five standard errors. Sets are compared as sets of 64-bit hashes of whole shingles.
@@ -36,6 +36,8 @@ BANDS = REGISTERS // ROWS
 COLLIDE = 0.0007
 #: Standard errors below the threshold down to which the estimate lets pairs pass.
 MARGIN = 5
+#: Shingles of the sets that a block of a star holds.
+BLOCK_SHINGLES = 150_000
 _U = np.uint64
 _PROBES = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=_U)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -151,6 +153,58 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percen
     return both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent).select("a", "b")
 
 
+def _between(pairs: DataFrame, first: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among nodes that have met.
+
+    Nodes that met in a bucket both belong to the star of the bucket's hub, so all pairs of a star cover all pairs that
+    met, with a node in a few stars instead of 32 buckets. In a star of several components the members outside its
+    largest one (x) are compared with each other and with the largest one (y). Both are dealt by hash into blocks of
+    about BLOCK_SHINGLES, and pairs of blocks are what a task holds at once: every set travels once for each block it
+    meets, not once for each pair, and only links come out."""
+    star = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("node")).distinct())
+    sized = nodes.select("node", "tid", F.col("n_shingles").alias("n"))
+    star = star.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sized, "node")
+    share = star.groupBy("hub", "comp").agg(F.sum("n").alias("n"))
+    main = share.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / BLOCK_SHINGLES)).cast("int")
+    main = main.filter("comps > 1").select("hub", "main", blocks(F.col("all") - F.col("most")).alias("nx"), blocks(F.col("most")).alias("ny"))
+    placed = star.join(main, "hub").withColumn("is_x", F.col("comp") != F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_x"), F.col("nx")).otherwise(F.col("ny"))).cast("int"))
+    wanted = placed.select("node", "tid").distinct()
+    full = written(sets(texts.join(wanted, "tid"), n), "sets")
+    # blocks are numbered x first; a pair of blocks is (i, j) with i <= j and i an x block
+    xs = F.sequence(F.lit(0), F.col("nx") - 1)
+    as_x = F.transform(F.sequence(F.lit(0), F.col("nx") + F.col("ny") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).alias("right")))
+    as_y = F.transform(xs, lambda k: F.struct(k.alias("i"), (F.col("own") + F.col("nx")).alias("j"), F.lit(True).alias("right")))
+    dealt = placed.select("hub", "node", "comp", F.explode(F.when(F.col("is_x"), as_x).otherwise(as_y)).alias("at")).select("hub", "node", "comp", "at.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, right = (table.column(k).to_numpy() for k in ("node", "comp", "right"))
+        own = [np.asarray(x) for x in table.column("set").combine_chunks().to_numpy(zero_copy_only=False)]
+        left, other = np.nonzero(~right)[0], np.nonzero(right)[0]
+        if table.column("i")[0] == table.column("j")[0]:
+            other = left
+        out: list[tuple[int, int]] = []
+        if len(left) and len(other):
+            size = np.array([len(own[k]) for k in other])
+            owner = np.repeat(np.arange(len(other)), size)
+            values = np.concatenate([own[k] for k in other])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for k in left:
+                lo, hi = np.searchsorted(values, own[k], "left"), np.searchsorted(values, own[k], "right")
+                hit = hi > lo
+                lo, count = lo[hit], (hi - lo)[hit]
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+                shared = np.bincount(owner[at], minlength=len(other))
+                ok = (shared * 100 >= (len(own[k]) + size - shared) * percent) & (comp[other] != comp[k])
+                best = np.nonzero(ok)[0]
+                out += [(int(node[k]), int(node[other[i]])) for i in best[np.unique(comp[other][best], return_index=True)[1]]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return dealt.join(full, "node").groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """tid, n_shingles, group (null for empty texts), component_id: one row per different text of `docs`."""
     texts = distinct_texts(docs, "near_texts")
@@ -169,17 +223,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     pairs = met.join(hubs, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     first = written(components(_linked(pairs, own, texts, n, percent)), "first")
 
-    placed = met.join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = split.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    mixed = written(placed.join(main, "key"), "mixed")
-    x = mixed.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("xc"))
-    y = mixed.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"), (F.col("comp") == F.col("main")).alias("in_main"))
-    rest = (
-        x.join(y, "key").filter("xc <> yc and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").distinct()
-    )
-    late = _linked(rest, own, texts, n, percent)
+    late = _between(pairs, first, own, texts, n, percent)
     at = lambda side: first.select(F.col("node").alias(side), F.col("comp").alias(f"{side}c"))
     between = late.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
     second = components(between)
