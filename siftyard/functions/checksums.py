@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def crc32(data: Column) -> Column:
@@ -37,6 +38,6 @@ def crc32c_bytes(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())  # a type, not its name: workers import this module and have no session
 def crc32c(data: pd.Series) -> pd.Series:
     return pd.Series(np.array([crc32c_bytes(x or b"") for x in data], np.int64))

@@ -12,6 +12,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ONE = {chr(i): bytes([i]) for i in range(128)} | {c: c.encode("cp1251") for c in [*map(chr, range(0x410, 0x450)), "Ё", "ё"]}
 _BACK = {v[0]: k for k, v in _ONE.items()}
@@ -60,12 +61,12 @@ def decode_text(data: bytes) -> str:
     return struct.pack(f"<{len(units)}H", *units).decode("utf-16-le", "surrogatepass")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())  # types, not their names: workers import this module and have no session
 def encode(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else encode_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else decode_text(bytes(x)))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 MULTIPLIERS = {"c1": 0xDCB22CA68CB134ED, "golden": 11400714819323198485}
@@ -92,7 +93,7 @@ def int_hash(multiplier: str = "c1", folded: bool = False):
     """(key ^ C) * C modulo 2**64 as a vectorized function; `folded` first xors the high half into the low one."""
     c = np.uint64(MULTIPLIERS[multiplier])
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def run(keys: pd.Series) -> pd.Series:
         k = keys.to_numpy(np.int64).view(np.uint64)
         if folded:

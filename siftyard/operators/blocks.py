@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Savings (bytes) beyond which a full block may grow to twice its size.
 SAVINGS = 0x3FFFF
@@ -31,7 +32,7 @@ def pack_by_size(rows: DataFrame, group: str, order: str, size: str, limit: int)
     """Adds `block`: rows of a group are packed in order, a block is closed when the next row would pass `limit`.
     Greedy packing depends on all rows before, so a group is one sequence; groups are what runs in parallel."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         block, filled, out = 0, 0, []
         for s in pdf["size"].tolist():
@@ -49,7 +50,6 @@ def pack_by_size(rows: DataFrame, group: str, order: str, size: str, limit: int)
 def pack_zstd(rows: DataFrame, group: str, order: str, payload: str, block_bytes: int, level: int = 3) -> DataFrame:
     """Packs payloads in zstandard frames: (group, block, n, raw_size, data). A block takes input up to `block_bytes`;
     beyond that, while compression has saved more than SAVINGS, up to twice as much, once."""
-    kinds = dict(rows.dtypes)
 
     def run(batches):
         open_block: dict = {}
@@ -85,22 +85,21 @@ def pack_zstd(rows: DataFrame, group: str, order: str, payload: str, block_bytes
         yield table([flush(g) for g in list(open_block)])
 
     source = rows.select(F.col(group).cast("long").alias(group), order, F.col(payload).cast("binary").alias(payload))
-    del kinds
     return source.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, "group long, block long, n long, raw_size long, data binary")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def unpack_zstd(data: pd.Series) -> pd.Series:
     return data.map(lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bwt_compress(data: pd.Series) -> pd.Series:
     """Block-sorting compression (bz2, of the same family)."""
     return data.map(lambda x: None if x is None else bz2.compress(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bwt_decompress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else bz2.decompress(bytes(x)))
 

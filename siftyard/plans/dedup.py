@@ -149,12 +149,12 @@ def file_catalog(spark, sf_dir):
 
 
 def streaming_dedup(spark, sf_dir):
-    """Document keys with dense ids, from a stream in micro-batches."""
-    path = f"{sf_dir}/documents.parquet"
-    schema = spark.read.parquet(path).schema
+    """Document keys with dense ids, from a stream in micro-batches. The pattern finds a table of one file too, which
+    the stream source does not take by its name."""
+    schema = table(spark, sf_dir, "documents").schema
     run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     keys = incremental.KeyTable(spark, f"{run}/keys")
-    incremental.dedup_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path), keys, f"{run}/state")
+    incremental.dedup_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parque[t]"), keys, f"{run}/state")
     return keys.read().select("key", "id")
 
 

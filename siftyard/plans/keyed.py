@@ -114,10 +114,10 @@ ORACLES = {
     "composite_remap": """WITH n AS (SELECT l_orderkey, l_partkey, l_suppkey, max(l_partkey * 10 + l_linenumber) AS new_id FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY 1, 2, 3)
 SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, coalesce(n.new_id, l.l_partkey) AS new_id FROM lineitem l LEFT JOIN n USING (l_orderkey, l_partkey, l_suppkey)""",
     "dict_scan": f"{_DICT} SELECT id, value FROM d",
-    "dict_encode": f"{_DICT} SELECT event_id, id FROM events JOIN d ON value = event_type",
+    "dict_encode": f"{_DICT} SELECT event_id, id FROM events JOIN d ON d.value = event_type",
     "dict_lookup": """WITH d AS (SELECT source AS value, row_number() OVER (ORDER BY min(doc_id)) - 1 AS id FROM documents WHERE doc_id < 5 GROUP BY source)
 SELECT doc_id, source, id FROM documents LEFT JOIN d ON value = source""",
-    "dict_decode": f"{_DICT} SELECT event_id, event_id % 7 AS key, value FROM events LEFT JOIN d ON id = event_id % 7",
+    "dict_decode": f"{_DICT} SELECT event_id, event_id % 7 AS key, d.value FROM events LEFT JOIN d ON id = event_id % 7",
     "distinct_keys": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "set_union": "SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders",
     "set_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",

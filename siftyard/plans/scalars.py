@@ -77,7 +77,7 @@ def crc32_grouped(spark, sf_dir):
 
 
 def crc32c_text(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", checksums.crc32c("text").alias("crc"))
+    return table(spark, sf_dir, "benchmark").select("item_id", checksums.crc32c(F.col("text").cast("binary")).alias("crc"))
 
 
 def int_hash(spark, sf_dir):
@@ -136,6 +136,25 @@ def utf8rus_size(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (range_remap, range_validation, external_sort, chunk_sort, remap_then_sort, topk_fragments, align_4096, zigzag_encode, zigzag_decode, delta_encode, delta_roundtrip, crc32_text, crc32_grouped, crc32c_text, int_hash, row_hash, hash_bucket, bit_helpers, key_bitfields, decimal_date_encode, decimal_date_to_epoch, decimal_date_format, zero_pad, utf8rus_encode, utf8rus_roundtrip, utf8rus_size)}
 
+#: The CRC-32 table by its rule, and the checksum of the bytes `b` of each row of `x` (id, b as hex).
+_CRC = """RECURSIVE s AS (SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM generate_series(0, 255) t(i)
+ UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST({0} AS BIGINT)) ELSE c >> 1 END, k + 1 FROM s WHERE k < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM s WHERE k = 8),
+y AS (SELECT x.*, list_transform(generate_series(0, length(b) // 2 - 1), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT)) AS l FROM x)"""
+_CRC_OF = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), l), lambda c, v: xor(c >> 8, t[CAST(xor(c, v) % 256 + 1 AS INTEGER)])), CAST(4294967295 AS BIGINT))"
+
+
+def _crc_sql(polynomial: int, rows: str, key: str) -> str:
+    return f"WITH {_CRC.format(polynomial).replace('RECURSIVE ', f'RECURSIVE x AS ({rows}), ', 1)} SELECT {key}, {_CRC_OF} AS crc FROM y, t"
+
+
+def _hash_sql(c: int, folded: bool) -> str:
+    k = "CAST(o_orderkey AS UBIGINT)"
+    k = f"xor({k}, {k} >> 32)" if folded else k
+    product = f"CAST(xor({k}, CAST({c} AS UBIGINT)) AS UHUGEINT) * CAST({c} AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT)"
+    return f"CAST(CASE WHEN {product} >= 9223372036854775808 THEN CAST({product} AS HUGEINT) - 18446744073709551616 ELSE CAST({product} AS HUGEINT) END AS BIGINT)"
+
+
 _RANGES = "r AS (SELECT b AS src_begin, b // 2 AS tgt_begin FROM (SELECT DISTINCT (o_orderkey // 20) * 20 AS b FROM orders) WHERE b >= 20)"
 ORACLES = {
     "range_remap": f"WITH {_RANGES} SELECT l_orderkey, l_linenumber, l_partkey, coalesce(tgt_begin + l_orderkey - src_begin, l_orderkey) AS new_id FROM lineitem LEFT JOIN r ON l_orderkey >= src_begin AND l_orderkey < src_begin + 10",
@@ -152,7 +171,7 @@ p AS (SELECT *, last_value(nullif(v, 0) IGNORE NULLS) OVER (PARTITION BY l_order
 d AS (SELECT *, v - q AS d, (v - q = 0 OR v - q < -2147483648 OR v - q > 2147483647) AS odd FROM p)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, v, CASE WHEN v = 0 OR q IS NULL OR odd THEN v WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS code, coalesce(v <> 0 AND q IS NOT NULL AND odd, false) AS raw FROM d""",
     "delta_roundtrip": "SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS v FROM lineitem GROUP BY l_orderkey",
-    "hash_bucket": "SELECT o_orderkey, CASE WHEN h < 0 THEN (h + 9223372036854775807 + 1) // 144115188075855872 + 64 ELSE h // 144115188075855872 END AS tag, ((h % 1000) + 1000) % 1000 AS bucket FROM (SELECT o_orderkey, o_orderkey * 2654435761 - 1099511627776 AS h FROM orders)",
+    "hash_bucket": "SELECT o_orderkey, CASE WHEN h < 0 THEN (h - (-9223372036854775808)) // 144115188075855872 + 64 ELSE h // 144115188075855872 END AS tag, ((h % 1000) + 1000) % 1000 AS bucket FROM (SELECT o_orderkey, o_orderkey * 2654435761 - 1099511627776 AS h FROM orders)",
     "bit_helpers": """SELECT o_orderkey, (o_orderkey + 1) & o_orderkey AS cleared, CAST(bit_count(((o_orderkey + 1) & -(o_orderkey + 1)) - 1) AS BIGINT) AS zeros,
 CAST((SELECT min(CAST(1 AS BIGINT) << CAST(i AS INTEGER)) FROM generate_series(0, 40) t(i) WHERE (CAST(1 AS BIGINT) << CAST(i AS INTEGER)) >= o_orderkey + 1) AS BIGINT) AS power FROM orders""",
     "key_bitfields": "SELECT l_orderkey * 1048576 + (l_linenumber % 2) * 524288 + l_partkey % 524288 AS packed, l_partkey % 524288 AS size, CAST(l_linenumber % 2 AS BIGINT) AS flag, l_orderkey AS idx FROM lineitem",
@@ -160,6 +179,16 @@ CAST((SELECT min(CAST(1 AS BIGINT) << CAST(i AS INTEGER)) FROM generate_series(0
     "decimal_date_to_epoch": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events",
     "decimal_date_format": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin', '%Y-%m-%d %H:%M:%S') AS local FROM events",
     "zero_pad": "SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS padded FROM orders",
+    "crc32_text": _crc_sql(0xEDB88320, "SELECT doc_id, hex(encode(text)) AS b FROM documents", "doc_id"),
+    "crc32_grouped": _crc_sql(0xEDB88320, "SELECT conv_id, hex(encode(string_agg(text, '' ORDER BY turn, text))) AS b FROM conversations GROUP BY conv_id", "conv_id"),
+    "crc32c_text": _crc_sql(0x82F63B78, "SELECT item_id, hex(encode(text)) AS b FROM benchmark", "item_id"),
+    "int_hash": f"SELECT o_orderkey, {', '.join(f'{_hash_sql(c, f)} AS {m}' + '_folded' * f for m, c in numeric.MULTIPLIERS.items() for f in (False, True))} FROM orders",
+    "utf8rus_encode": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS s, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+o AS (SELECT doc_id, i, ord(s) AS c FROM c),
+u AS (SELECT doc_id, i, 0 AS k, CASE WHEN c < 65536 THEN c ELSE 55296 + ((c - 65536) >> 10) END AS u FROM o
+      UNION ALL SELECT doc_id, i, 1, 56320 + (c - 65536) % 1024 FROM o WHERE c >= 65536)
+SELECT doc_id, string_agg(CASE WHEN u < 128 THEN printf('%02X', u) WHEN u BETWEEN 1040 AND 1103 THEN printf('%02X', u - 848) WHEN u = 1025 THEN 'A8' WHEN u = 1105 THEN 'B8'
+    WHEN u < 2048 THEN printf('%02X%02X', 144 + (u >> 7), 128 + u % 128) ELSE printf('%02X%02X%02X', 128 + (u >> 12), 128 + (u >> 6) % 64, 128 + u % 64) END, '' ORDER BY i, k) AS code FROM u GROUP BY doc_id""",
     "utf8rus_roundtrip": "SELECT doc_id, text FROM documents",
     "utf8rus_size": """WITH c AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda x: ord(x))) AS c FROM documents)
 SELECT doc_id, CAST(sum(CASE WHEN c < 128 OR c BETWEEN 1040 AND 1103 OR c IN (1025, 1105) THEN 1 WHEN c < 2048 THEN 2 WHEN c < 65536 THEN 3 ELSE 6 END) AS BIGINT) AS size FROM c GROUP BY doc_id""",
