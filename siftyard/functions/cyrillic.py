@@ -1,8 +1,8 @@
 """A compact text code: ASCII and Russian letters take one byte, other characters two or three.
 
 One byte: code points below 128 as they are; А to я, Ё and ё by their place in code page 1251. Two bytes up to U+07FF:
-0x90 with the upper four bits, 0x80 with the lower seven. Three bytes for every other UTF-16 unit: 0x80 with the upper
-four bits (these lead bytes are below 0x90), then twice six bits with 0x80. Characters beyond U+FFFF are two units.
+0x90 with the lowest four bits, 0x80 with the seven above. Three bytes for every other UTF-16 unit: 0x80 with the lowest
+four bits (these lead bytes are below 0x90), then twice the next six bits with 0x80. Characters beyond U+FFFF are two units.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _units(c: str) -> list[int]:
 def _long(c: str) -> bytes:
     out = bytearray()
     for u in _units(c):
-        out += bytes([0x90 | u >> 7, 0x80 | u & 0x7F]) if u < 0x800 else bytes([0x80 | u >> 12, 0x80 | u >> 6 & 0x3F, 0x80 | u & 0x3F])
+        out += bytes([0x90 | u & 15, 0x80 | u >> 4]) if u < 0x800 else bytes([0x80 | u & 15, 0x80 | u >> 4 & 0x3F, 0x80 | u >> 10])
     return bytes(out)
 
 
@@ -53,10 +53,10 @@ def decode_text(data: bytes) -> str:
             units.append(ord(_BACK[b]))
             i += 1
         elif b & 0xF0 == 0x90:
-            units.append((b & 15) << 7 | data[i + 1] & 0x7F)
+            units.append(b & 15 | (data[i + 1] & 0x7F) << 4)
             i += 2
         else:
-            units.append((b & 15) << 12 | (data[i + 1] & 0x3F) << 6 | data[i + 2] & 0x3F)
+            units.append(b & 15 | (data[i + 1] & 0x3F) << 4 | (data[i + 2] & 0x3F) << 10)
             i += 3
     return struct.pack(f"<{len(units)}H", *units).decode("utf-16-le", "surrogatepass")
 

@@ -188,7 +188,7 @@ o AS (SELECT doc_id, i, ord(s) AS c FROM c),
 u AS (SELECT doc_id, i, 0 AS k, CASE WHEN c < 65536 THEN c ELSE 55296 + ((c - 65536) >> 10) END AS u FROM o
       UNION ALL SELECT doc_id, i, 1, 56320 + (c - 65536) % 1024 FROM o WHERE c >= 65536)
 SELECT doc_id, string_agg(CASE WHEN u < 128 THEN printf('%02X', u) WHEN u BETWEEN 1040 AND 1103 THEN printf('%02X', u - 848) WHEN u = 1025 THEN 'A8' WHEN u = 1105 THEN 'B8'
-    WHEN u < 2048 THEN printf('%02X%02X', 144 + (u >> 7), 128 + u % 128) ELSE printf('%02X%02X%02X', 128 + (u >> 12), 128 + (u >> 6) % 64, 128 + u % 64) END, '' ORDER BY i, k) AS code FROM u GROUP BY doc_id""",
+    WHEN u < 2048 THEN printf('%02X%02X', 144 + u % 16, 128 + (u >> 4)) ELSE printf('%02X%02X%02X', 128 + u % 16, 128 + (u >> 4) % 64, 128 + (u >> 10)) END, '' ORDER BY i, k) AS code FROM u GROUP BY doc_id""",
     "utf8rus_roundtrip": "SELECT doc_id, text FROM documents",
     "utf8rus_size": """WITH c AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda x: ord(x))) AS c FROM documents)
 SELECT doc_id, CAST(sum(CASE WHEN c < 128 OR c BETWEEN 1040 AND 1103 OR c IN (1025, 1105) THEN 1 WHEN c < 2048 THEN 2 WHEN c < 65536 THEN 3 ELSE 6 END) AS BIGINT) AS size FROM c GROUP BY doc_id""",
