@@ -33,11 +33,15 @@ FOLDS, HELD_OUT = 3, 1
 BEFORE, AFTER = bytes(range(1, 9)), bytes(range(14, 22))
 SAMPLE_DOCS = 3000
 WINDOW_WORDS, LEVEL = 1, 19
+#: All words open with one mark, so the compressor must look at every place of it (2**12) to find the word's own.
+SEARCH_LOG = 12
 #: Windows whose result a worker remembers before it starts anew.
 KEPT_WINDOWS = 500_000
 BASE_WORDS, CLASS_WORDS = 1000, 400
 #: The log-likelihood ratio (G) of a word's counts in the classes from which it is taken as telling them apart.
 G_MIN = 16.0
+#: Share of the most telling word's G that a toxic word must reach: less comes from copies of a few texts.
+LEAST_SHARE = 0.05
 MIN_SAVED = 2
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,7 +72,8 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         g = 2 * sum(k * math.log(k / ((a + b) * p)) for k, p in ((a, share), (b, 1 - share)) if k)
         score[word] = (g if g >= G_MIN else 0, ratio, a + b)
     common = sorted((w for w, x in score.items() if 0.5 < x[1] < 2), key=lambda w: (-score[w][2], w))[:BASE_WORDS]
-    tox = sorted((w for w, x in score.items() if x[0] and x[1] >= 3), key=lambda w: (-score[w][0], w))[:CLASS_WORDS]
+    least = LEAST_SHARE * max((x[0] for x in score.values() if x[1] >= 3), default=0)
+    tox = sorted((w for w, x in score.items() if x[0] and x[0] >= least and x[1] >= 3), key=lambda w: (-score[w][0], w))[:CLASS_WORDS]
     plain = sorted((w for w, x in score.items() if x[0] and x[1] <= 1 / 3), key=lambda w: (-score[w][0], w))[:CLASS_WORDS]
     telling = set(tox)
     parts = {w[i : i + k] for w in tox for k in (4, 5, 6, 7, 8) for i in range(len(w) - k + 1)}
@@ -90,7 +95,7 @@ class Toxicity:
         self.whole = 0
         for content in contents:
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, dict_size=len(content), source_size=96, write_content_size=False, write_checksum=False, write_dict_id=False
+                LEVEL, dict_size=len(content), source_size=96, search_log=SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False
             )
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(compression_params=params)
