@@ -4,7 +4,7 @@ import base64
 import os
 import random
 
-from conftest import rows
+from helpers import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 """Every query of the reference's operators against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import SF, same
+from helpers import SF, same
 
 from siftyard import plans
 
