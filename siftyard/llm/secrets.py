@@ -68,6 +68,7 @@ def _let(value: Column, body) -> Column:
 def _tests(run: Column) -> Column:
     """struct<random, ordinary>: the chance of a run's characters under uniform symbols, and under ordinary text."""
     core = F.regexp_replace(run, "=+$", "")
+    core = F.when(core == "", run).otherwise(core)  # nothing but padding
 
     def measured(s):
         hexa = s.rlike("^([0-9a-f]+|[0-9A-F]+)$")
@@ -109,7 +110,7 @@ def _tests(run: Column) -> Column:
         random = F.least(F.lit(1.0), 3 * F.least(1 - _cdf(z_chi), 2 - 2 * _cdf(z_runs), 2 - 2 * _cdf(z_serial)))
         pairs = 2 * n * (n - 1) * (LETTERS2 - LETTERS2**2) + 4 * n * (n - 1) * (n - 2) * (LETTERS3 - LETTERS2**2)
         usual = k + k * (n - 1) * LETTERS2 - n
-        ordinary = _cdf((y["chi"] - usual) / (k / n * F.sqrt(pairs)))
+        ordinary = _cdf((y["chi"] - usual) / (k / n * F.sqrt(F.greatest(pairs, F.lit(1e-9)))))  # one character has no pairs
         ordinary = ordinary * F.when(x["hexa"], F.pow(F.lit(IN_HEX), n)).otherwise(F.pow(F.lit(CHANGE), x["changes"]))
         return F.struct(random.alias("random"), ordinary.alias("ordinary"))
 
