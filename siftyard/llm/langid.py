@@ -15,9 +15,9 @@ when its crc32 of the empty text is 0 modulo the number of folds, as any id. Rep
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ MARK = bytes(range(1, 32)) * 2
 MIN_MARGIN = 0.001
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT) -> list[tuple[str, bytes]]:

@@ -8,7 +8,7 @@ dictionary holds whole comes down to the length of one match, a threshold taken
 such windows and of all windows are turned into a probability by a logistic curve fitted on the training rows: the calibration.
 
 Fitting reads a bounded sample: up to `SAMPLE_DOCS` labelled documents of each class, chosen by a hash of the row,
-from rows outside the held-out fold. Scoring covers every row and whole texts.
+from rows outside the held-out fold, and of each an excerpt of at most `EXCERPT` characters. Scoring covers every row and whole texts.
 
 Edge cases: null and empty texts and texts without a letter have no window and get the score of no savings. Without
 training rows of both classes every score is 0.5 (predicted 0). Repeated labels of a document count as toxic if any
@@ -31,7 +31,8 @@ from siftyard.llm.common import fold, fold_column, read
 
 FOLDS, HELD_OUT = 3, 1
 BEFORE, AFTER = bytes(range(1, 9)), bytes(range(14, 22))
-SAMPLE_DOCS = 3000
+#: Labelled documents of each class that are fitted on, and characters of each.
+SAMPLE_DOCS, EXCERPT = 3000, 50_000
 WINDOW_WORDS, LEVEL = 1, 19
 #: All words open with one mark, so the compressor must look at every place of it (2**12) to find the word's own.
 SEARCH_LOG = 12
@@ -154,7 +155,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes
     return dictionaries(toxic, ordinary), weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS):
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT):
     """The model from labelled rows outside the held-out fold."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS):
     scale = 1 << 30
     share = F.when(F.col("toxic") == 1, min(scale, math.ceil(scale * 1.2 * sample_docs / counts[1]))).otherwise(min(scale, math.ceil(scale * 1.2 * sample_docs / counts[0])))
     chosen = rows.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).filter(F.col("key") < share)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, excerpt).alias("text")).filter(F.col("text").isNotNull())
     got = sorted((r["key"], r["text"], r["toxic"]) for r in source.join(F.broadcast(chosen), "doc_id").select("key", "text", "toxic").collect())
     return fit_texts([t for _, t, y in got if y == 1][:sample_docs], [t for _, t, y in got if y == 0][:sample_docs])
 
