@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import read
+from siftyard.llm.common import read, resident
 
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers before it starts anew, and the longest (characters) that it remembers.
-KEPT_PIECES, KEPT_CHARS = 400_000, 64
+KEPT_PIECES, KEPT_CHARS = 250_000, 64
 NO_PAIR = np.int64(1) << 60
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -207,13 +207,8 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def vocabulary(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return resident(("bpe", path), lambda: Bpe(path))
 
 
 #: Characters of text whose pieces are handled at once.

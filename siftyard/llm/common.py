@@ -28,6 +28,18 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+_resident: dict = {}
+
+
+def resident(key, build):
+    """What `build()` gives, kept in this Python worker under `key` until another key is asked for: workers live on from
+    stage to stage, and the tables of one operator should not fill the memory of the next."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -13,13 +13,14 @@ benchmark marks nothing. Other columns of either table are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import item_words, read, utf8
+from siftyard.llm.common import item_words, read, resident, utf8
 
 WINDOW = 10
 #: Text of benchmark items whose tables are held at once, about 100 bytes of tables for each byte.
@@ -98,16 +99,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
         yield [(r[0], bytes(r[1])) for r in part.collect()]
 
 
-_built: dict[int, WuManber] = {}
-
-
 def _matcher(shared, window: int) -> WuManber:
     """One block's tables per Python worker."""
-    key = (shared.value[0], window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = WuManber(patterns_of(shared.value[1], window))
-    return _built[key]
+    return resident(("patterns", shared.value[0], window), lambda: WuManber(patterns_of(shared.value[1], window)))
 
 
 def decontaminate(
@@ -119,7 +113,7 @@ def decontaminate(
     shuffle at all. Further blocks are merged by document."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = [spark.sparkContext.broadcast((f"{id(source)}-{k}", items)) for k, items in enumerate(_blocks(benchmark, block_bytes))]
+    shared = [spark.sparkContext.broadcast((uuid.uuid4().hex, items)) for items in _blocks(benchmark, block_bytes)]
 
     if len(shared) == 1:
 
@@ -175,8 +169,8 @@ def decontaminate(
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with __contaminated: the form for filters. Every block of the benchmark is one more narrow pass."""
     out = docs.withColumn("__contaminated", F.lit(False))
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
-        own = docs.sparkSession.sparkContext.broadcast((f"{id(out)}-{k}", items))
+    for items in _blocks(benchmark, block_bytes):
+        own = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
 
         def scan(batches, own=own):
             matcher = _matcher(own, window)

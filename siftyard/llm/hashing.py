@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 600_000
+from siftyard.llm.common import resident
+
+KEPT_WORDS = 300_000
 _U = np.uint64
 
 
@@ -22,7 +24,8 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), _U, len(words))
 
 
-WORDS = Words()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return resident("words", Words).hashes(words)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import fold, fold_column, read
+from siftyard.llm.common import fold, fold_column, read, resident
 
 FOLDS = 5
 SAMPLE_DOCS, EXCERPT, DICT_BYTES = 160, 2000, 112 << 10
@@ -88,15 +88,8 @@ class Languages:
         return self.names[best], 1 - math.exp(-30 * margin), margin
 
 
-_built: dict[int, Languages] = {}
-
-
 def _model(shared) -> Languages:
-    key = hash(tuple(shared.value))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Languages(shared.value)
-    return _built[key]
+    return resident(("languages", hash(tuple(shared.value))), lambda: Languages(shared.value))
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, keep: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftyard.llm.common import distinct_texts, read, shared_dir, text_id, utf8, written
-from siftyard.llm.hashing import WORDS, mix, signed
+from siftyard.llm.hashing import mix, signed, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 128, 4
@@ -47,7 +47,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, _U)
-    w, k = WORDS.hashes(words), min(n, len(words))
+    w, k = word_hashes(words), min(n, len(words))
     h = np.full(len(w) - k + 1, k, _U)
     for i in range(k):
         h = mix(h + w[i : len(w) - k + 1 + i])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftyard.llm.common import distinct_texts, read, shared_dir, text_id, utf8, written
-from siftyard.llm.hashing import WORDS, Spans, leftmost_minimum, mix, signed
+from siftyard.llm.hashing import Spans, leftmost_minimum, mix, signed, word_hashes
 
 WINDOW, ANCHOR = 35, 10
 P, Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -88,7 +88,7 @@ class Windows:
     def __init__(self, texts: list[list[bytes]], window: int, anchor: int):
         self.n_words = np.array([len(x) for x in texts], np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.n_words)])
-        w = WORDS.hashes([word for words in texts for word in words])
+        w = word_hashes([word for words in texts for word in words])
         self.window = window
         self.p, self.q = Spans(w, P), Spans(w, Q)
         counts = np.maximum(0, self.n_words - window + 1)

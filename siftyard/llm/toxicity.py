@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import fold, fold_column, read
+from siftyard.llm.common import fold, fold_column, read, resident
 
 FOLDS, HELD_OUT = 3, 1
 BEFORE, AFTER = bytes(range(1, 9)), bytes(range(14, 22))
@@ -170,15 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, exce
     return fit_texts([t for _, t, y in got if y == 1][:sample_docs], [t for _, t, y in got if y == 0][:sample_docs])
 
 
-_built: dict[int, Toxicity] = {}
-
-
 def _model(value) -> Toxicity:
-    key = hash(value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Toxicity(*value) if value else Toxicity((b" " * 8, b" " * 8))
-    return _built[key]
+    return resident(("toxicity", hash(value)), lambda: Toxicity(*value) if value else Toxicity((b" " * 8, b" " * 8)))
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
