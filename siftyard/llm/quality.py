@@ -15,14 +15,15 @@ between words is not a token. Texts without a letter go by the band of `other`.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import BLANKS, read, utf8
-from siftyard.llm.hashing import WORDS, mix
+from siftyard.llm.common import BLANKS, read, resident, utf8
+from siftyard.llm.hashing import mix
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEPT_WORDS = 400_000
@@ -55,27 +56,38 @@ class Fertility:
             loaded = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.multi = tiktoken.Encoding("multi", pat_str=pattern, mergeable_ranks=loaded, special_tokens={})
         self.fallback = np.array([self.sp.is_byte(i) for i in range(self.sp.vocab_size())])
-        self.ids: dict[bytes, bytes] = {}
-        self.n_multi: dict[bytes, int] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-            self.n_multi.clear()
-        new = list(set(words).difference(self.ids))
+        self.known: dict[bytes, int] = {}  # word -> its number here
+        self.ids: list[bytes] = []
+        self.n_multi: list[int] = []
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, by which words are equal and their tokens found. Valid until the next call."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.ids, self.n_multi = {}, [], []
+        new = list(set(words).difference(self.known))
         text = [w.decode("utf-8", "replace") for w in new]
-        for w, ids in zip(new, self.sp.encode(text, num_threads=1), strict=True):
-            self.ids[w] = np.array(ids, "<u4").tobytes()
-        self.n_multi.update(zip(new, (len(x) for x in self.multi.encode_ordinary_batch([f" {x}" for x in text], num_threads=1)), strict=True))
+        self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+        self.ids += [array("I", x).tobytes() for x in self.sp.encode(text, num_threads=1)]
+        count = self.multi.encode_ordinary  # its batch form makes a thread's task of every word
+        self.n_multi += [len(count(f" {x}")) for x in text]
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def measure(self, words: list[bytes]) -> tuple[int, int, float, float]:
+    def measure(self, numbers: np.ndarray) -> tuple[int, int, float, float]:
         """Tokens, tokens of the other vocabulary, byte-fallback share, entropy in bits."""
-        self.learn(words)
-        ids = np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u4")
-        if not len(ids):
+        if not len(numbers):
             return 0, 0, 0.0, 0.0
-        counts = np.unique(ids, return_counts=True)[1] / len(ids)
-        return len(ids), sum(map(self.n_multi.__getitem__, words)), float(self.fallback[ids].mean()), float(-(counts * np.log2(counts)).sum())
+        each, times = np.unique(numbers, return_counts=True)
+        each = each.tolist()
+        found = [self.ids[i] for i in each]
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        weight = np.repeat(times, [len(x) >> 2 for x in found])
+        n = int(weight.sum())
+        if not n:
+            return 0, 0, 0.0, 0.0
+        share = np.bincount(ids, weight)
+        share = share[share > 0] / n
+        multi = int(np.dot([self.n_multi[i] for i in each], times))
+        return n, multi, float(weight[self.fallback[ids]].sum() / n), float(-(share * np.log2(share)).sum())
 
 
 def script_of(data: bytes) -> str:
@@ -88,17 +100,17 @@ def script_of(data: bytes) -> str:
     return _NAMES[int(seen.argmax())] if seen.any() else "other"
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in three-word windows that stand twice or more."""
-    if len(words) < 4:
+def repeated_words(w: np.ndarray) -> int:
+    """Words in three-word windows that stand twice or more, from numbers of the words."""
+    if len(w) < 4:
         return 0
-    w = WORDS.hashes(words)
+    w = w.astype(np.uint64)
     h = mix(mix(mix(w[:-2]) + w[1:-1]) + w[2:])
     _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
     twice = n[inverse] > 1
-    mask = np.zeros(len(words), bool)
+    mask = np.zeros(len(w), bool)
     for k in range(3):
-        mask[k : len(words) - 2 + k] |= twice
+        mask[k : len(w) - 2 + k] |= twice
     return int(mask.sum())
 
 
@@ -111,30 +123,26 @@ def judge(data: bytes, fertility: Fertility, bands=None) -> tuple:
     chars = len(data.translate(None, BLANKS + _CONTINUED))
     symbols = len(data) - len(data.translate(None, b"#*$%&|<>"))
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
-    repeat = repeated_words(words)
+    numbers = fertility.numbers(words)
+    repeat = repeated_words(numbers)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
     script = script_of(data)
-    tokens, multi, fallback, entropy = fertility.measure(words)
+    tokens, multi, fallback, entropy = fertility.measure(numbers)
     per, per_multi = (chars / tokens, chars / multi) if tokens else (0.0, 0.0)
     low, high, most_fallback, least_entropy = (bands or BANDS)[script]
     in_band = low <= max(per, per_multi) and min(per, per_multi) <= high and fallback <= most_fallback and entropy >= least_entropy
     return n, chars, symbols, len(lines) - len(set(lines)), repeat, failed, not failed and in_band, script, tokens, per, per_multi, fallback, entropy
 
 
-_loaded: dict[tuple, Fertility] = {}
-
-
 def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, bands: dict | None = None) -> DataFrame:
     """Per document: base counts, verdicts and the fertility measures. One narrow pass, no shuffle."""
 
     def run(batches):
-        key = (pieces, ranks)
-        if key not in _loaded:
-            _loaded[key] = Fertility(pieces, ranks, pattern)
+        fertility = resident(("fertility", pieces, ranks), lambda: Fertility(pieces, ranks, pattern))
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.int64()] + [pa.float64()] * 4
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            out = list(zip(*(judge(x, _loaded[key], bands) for x in utf8(batch, "text")), strict=True)) or [[]] * len(kinds)
+            out = list(zip(*(judge(x, fertility, bands) for x in utf8(batch, "text")), strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
