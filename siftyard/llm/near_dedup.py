@@ -205,9 +205,9 @@ def _between(pairs: DataFrame, first: DataFrame, nodes: DataFrame, texts: DataFr
     return dealt.join(full, "node").groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """tid, n_shingles, group (null for empty texts), component_id: one row per different text of `docs`."""
-    texts = distinct_texts(docs, "near_texts")
+def near_duplicates(texts: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """tid, n_shingles, group (null for empty texts), component_id: one row for each row of `texts`, which is what
+    `distinct_texts` gives."""
     every = written(sketches(texts, n).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     some = every.filter("n_shingles > 0")
     nodes = some.groupBy("sig_hi", "sig_lo").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"))
@@ -239,12 +239,33 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 
 def near_dedup(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    found = near_duplicates(docs, n, percent)
+    found = near_duplicates(distinct_texts(docs, "near_texts"), n, percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("tid")).join(found, "tid")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each group, the one of the smallest non-null id (then by text id, then by a hash of the
+    row); rows without a word are all kept.
+
+    Texts are not shuffled again: what is decided on are the other columns, first one candidate for each text (copies
+    meet on the map side), then one for each group, and the chosen rows fetch their text from the bucketed table."""
+    texts = distinct_texts(docs, "near_texts")
+    groups = near_duplicates(texts, n, percent).filter(F.col("group").isNotNull()).select("tid", "group")
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*others)
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"), F.xxhash64(F.to_json(row)).alias("c"))
+    said = docs.filter(~wordless).select(text_id().alias("tid"), row.alias("row"), order.alias("order"))
+    candidates = said.groupBy("tid").agg(F.min_by(F.struct("row", "order"), "order").alias("x")).select("tid", "x.*")
+    rank = F.struct("order.a", "order.b", "tid", "order.c")
+    best = candidates.join(groups, "tid").groupBy("group").agg(F.min_by(F.struct("tid", "row"), rank).alias("x")).select("x.*")
+    kept = best.join(texts.select("tid", "text"), "tid")
+    kept = kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.filter(wordless))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), n=2)
 
