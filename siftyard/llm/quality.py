@@ -5,8 +5,12 @@ for many languages. Characters per token, the share of byte-fallback tokens and
 bands of the text's main script; outside them the text is rejected. The base rules come first: too few words, or too
 many in repeated three-word windows.
 
-The bands are wide on purpose: they catch what no language in that script looks like (keyboard noise, encodings gone
-wrong, one token over and over), not unusual prose.
+The bands come in two layers. `BANDS` are wide and fixed: what no language in that script looks like, by the kinder
+of the two vocabularies. `fit_bands` draws narrower ones from rows labelled as good, per script: characters per token in
+each vocabulary, byte-fallback share and entropy must all be as in those rows, with a margin. Entropy has two bounds,
+in bits and as a share of the most that so many tokens can have; the lower one counts, as short texts have few bits and
+long ones a small share. They catch keyboard noise, encoded bytes and encodings gone wrong. They have no upper end for
+characters per token: common words only raise it. A script with fewer than `LEAST_GOOD` different good rows is held against `BANDS` only.
 
 Edge cases: null and empty texts have no words and fail the base rule. Tokens are counted word by word, white space
 between words is not a token. Texts without a letter go by the band of `other`. Repeated rows give a row each.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import BLANKS, read, resident, utf8
+from siftyard.llm.common import BLANKS, read, resident, utf8, written
 from siftyard.llm.hashing import mix
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -33,6 +37,10 @@ BANDS = {
     "arabic": (0.6, 9.0, 0.60, 2.0), "hebrew": (0.6, 9.0, 0.60, 2.0), "devanagari": (0.4, 9.0, 0.80, 2.0),
     "thai": (0.4, 9.0, 0.80, 2.0), "cjk": (0.3, 4.0, 0.97, 2.0), "hangul": (0.3, 4.0, 0.97, 2.0), "other": (0.25, 12.0, 1.0, 1.5),
 }
+#: Different good rows that a script needs for bands of its own; the share of them that may lie beyond a bound.
+LEAST_GOOD, BEYOND = 30, 0.01
+#: What a bound is moved outwards by: a factor for characters per token and entropy, a sum for the byte-fallback share.
+SLACK, FALLBACK_SLACK = 0.95, 0.05
 #: First code points of ranges and the scripts of their letters.
 _RANGES = [(0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "other"), (0xE00, "thai"), (0xE80, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2C00, "other"), (0x3000, ""), (0x3040, "cjk"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "cjk"), (0xFB00, "other"), (0xFE00, ""), (0x20000, "cjk"), (0x32000, "")]
 _STARTS, _NAMES = np.array([a for a, _ in _RANGES], np.uint32), ["", *BANDS]
@@ -135,7 +143,7 @@ def judge(data: bytes, fertility: Fertility, bands=None) -> tuple:
 
 
 def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, bands: dict | None = None) -> DataFrame:
-    """Per document: base counts, verdicts and the fertility measures. One narrow pass, no shuffle."""
+    """Per document: base counts, verdicts by `BANDS` and the fertility measures. One narrow pass, no shuffle."""
 
     def run(batches):
         fertility = resident(("fertility", pieces, ranks), lambda: Fertility(pieces, ranks, pattern))
@@ -148,7 +156,47 @@ def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, bands: dict
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def _most_entropy():
+    return F.log2(F.greatest(F.col("n_tokens"), F.lit(2)))
+
+
+def fit_bands(measured: DataFrame, labels: DataFrame) -> dict[str, tuple[float, ...]]:
+    """Script -> (least characters per token in each vocabulary, most byte-fallback share, least entropy in bits and as
+    a share of log2 of the tokens) of the rows labelled good that pass the base rule. Copies, which have the same
+    measures, count once. Any label 0 makes a document not good; null labels are ignored."""
+    good = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    good = good.agg(F.min("quality").alias("quality")).filter(F.col("quality") > 0).select("doc_id")
+    names = ["script", "n_words", "word_chars", "n_tokens", "chars_per_token", "chars_per_token_multi", "fallback_share", "token_entropy"]
+    rows = measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").select(*names).distinct()
+
+    def bound(name, share):
+        return F.percentile_approx(name, share, 10_000)
+
+    found = rows.groupBy("script").agg(
+        F.count(F.lit(1)), bound("chars_per_token", BEYOND), bound("chars_per_token_multi", BEYOND), bound("fallback_share", 1 - BEYOND),
+        bound("token_entropy", BEYOND), bound(F.col("token_entropy") / _most_entropy(), BEYOND)
+    )
+    return {s: (SLACK * a, SLACK * b, c + FALLBACK_SLACK, SLACK * d, SLACK * e) for s, n, a, b, c, d, e in found.collect() if n >= LEAST_GOOD}
+
+
+def within(measured: DataFrame, fitted: dict[str, tuple[float, ...]]) -> DataFrame:
+    """`kept` only where the measures are also inside the script's fitted band, if it has one."""
+    kept = F.col("kept")
+    for script, (least, least_multi, most_fallback, least_entropy, least_share) in fitted.items():
+        inside = (F.col("chars_per_token") >= least) & (F.col("chars_per_token_multi") >= least_multi)
+        inside = inside & (F.col("fallback_share") <= most_fallback) & (F.col("token_entropy") >= F.least(F.lit(least_entropy), least_share * _most_entropy()))
+        kept = kept & ((F.col("script") != script) | inside)
+    return measured.withColumn("kept", kept)
+
+
+def judged(docs: DataFrame, labels: DataFrame, pieces: str, ranks: str, pattern: str) -> DataFrame:
+    """`quality` with bands fitted on the labelled rows. The measures are written, so texts are encoded once."""
+    measured = written(quality(docs, pieces, ranks, pattern), "quality")
+    return within(measured, fit_bands(measured, labels))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    return quality(read(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return judged(docs, labels, public.path("piece_bpe_32k.model"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)

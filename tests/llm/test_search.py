@@ -105,6 +105,35 @@ def test_quality_method(spark):
     assert got[1]["token_entropy"] > 2 and got[1]["chars_per_token"] > 1.5
 
 
+def test_quality_rejects_noise(spark):
+    import public_tokenizers as public
+
+    rnd = random.Random(5)
+    german = "Die schöne Stadt liegt über dem Fluß und die Häuser können früh am Morgen für größere Gäste öffnen während müde Mädchen Brötchen kaufen".split()
+    english = "the old people of this town have written many letters about their children and every year someone reads them again with great pleasure".split()
+
+    def letters(chosen):
+        return "".join(rnd.choice(chosen) for _ in range(rnd.randint(4, 9)))
+
+    def text(word):
+        return " ".join(word() for _ in range(300))
+
+    mixed = text(lambda: rnd.choice(german))
+    noise = [
+        text(lambda: letters("abcdefghijklmnopqrstuvwxyz")), text(lambda: letters("asdfghjkl")), text(lambda: letters("bcdfghjklmnpqrstvwxz")),
+        text(lambda: f"{rnd.getrandbits(32):08x}"), text(lambda: base64.b64encode(rnd.randbytes(9)).decode()), mixed.encode().decode("cp1252", "replace"),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    more = spark.createDataFrame([(-1 - i, x) for i, x in enumerate([*noise, mixed, text(lambda: rnd.choice(english))])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.judged(docs.union(more), labels, public.path("piece_bpe_32k.model"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).collect()}
+    assert not any(got[-1 - i]["base_failed"] for i in range(8))
+    assert [got[-1 - i]["kept"] for i in range(8)] == [False] * 6 + [True] * 2
+    good = [got[r["doc_id"]] for r in labels.filter("quality = 1").collect() if r["doc_id"] in got]
+    passed = [r["kept"] for r in good if not r["base_failed"]]
+    assert len(passed) >= 30 and sum(passed) >= 0.97 * len(passed)
+
+
 FORMS = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
