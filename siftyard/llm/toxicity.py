@@ -3,7 +3,8 @@
 A text is lower-cased and cut in windows of words (one by default, between marks). Each window is compressed with both dictionaries; where the
 toxic one saves bytes, the window speaks like toxic text. The two dictionaries are trained on the words that labelled
 toxic and ordinary documents use significantly more often than the other class, upon the same base of common words, so
-that the difference of two lengths holds what tells the classes apart and little else. A window that the toxic
+that the difference of two lengths holds what tells the classes apart and little else. A set of copies and near copies
+counts as one document, each of its texts for its part of it; every word is tested by itself, however many pass. A window that the toxic
 dictionary holds whole comes down to the length of one match, a threshold taken from its own words. The number of
 such windows and of all windows are turned into a probability by a logistic curve fitted on the training rows: the calibration.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,21 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftyard.llm.common import fold, fold_column, read, resident
+from siftyard.llm.hashing import mix
 
 FOLDS, HELD_OUT = 3, 1
 BEFORE, AFTER = bytes(range(1, 9)), bytes(range(14, 22))
 #: Labelled documents of each class that are fitted on, and characters of each.
 SAMPLE_DOCS, EXCERPT = 3000, 50_000
 WINDOW_WORDS, LEVEL = 1, 19
-#: All words open with one mark, so the compressor must look at every place of it (2**12) to find the word's own.
-SEARCH_LOG = 12
+#: All words open with one mark, so the compressor must look at every place of it to find the word's own: 2**12, or
+#: more where the dictionaries hold more words.
+SEARCH_LOG, MOST_SEARCH_LOG = 12, 26
 #: Windows whose result a worker remembers before it starts anew.
 KEPT_WINDOWS = 500_000
-BASE_WORDS, CLASS_WORDS = 1000, 400
-#: The log-likelihood ratio (G) of a word's counts in the classes from which it is taken as telling them apart.
-G_MIN = 16.0
-#: Share of the most telling word's G that a toxic word must reach: less comes from copies of a few texts.
-LEAST_SHARE = 0.05
+BASE_WORDS = 1000
+#: Share of the words taken as telling the classes apart, by the log-likelihood ratio (G), that may be so by chance.
+FDR = 0.05
+#: Texts are copies if this share of their two-word sketches of SKETCH numbers agrees.
+SKETCH, ALIKE = 64, 0.5
 MIN_SAVED = 2
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,23 +63,52 @@ def written(words) -> bytes:
     return b"".join(BEFORE + w.encode() + AFTER for w in words)
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Dictionary contents (toxic, ordinary) from texts of the two classes."""
+def copies(texts: list[str]) -> np.ndarray:
+    """For each text the number of the first text of its set of near copies."""
+    rnd = np.random.default_rng(1)
+    times, plus = rnd.integers(1, 1 << 62, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(0, 1 << 62, SKETCH, np.uint64)
+    sketches = np.zeros((len(texts), SKETCH), np.uint64)
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or {" ".join(words)}
+        h = mix(np.fromiter((zlib.crc32(x.encode()) for x in pairs), np.uint64, len(pairs)))
+        sketches[i] = [mix(h * t + p).min() for t, p in zip(times, plus, strict=True)]
+    group = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        if group[i] < 0:
+            rest = np.flatnonzero(group < 0)
+            group[rest[(sketches[rest] == sketches[i]).mean(axis=1) >= ALIKE]] = i
+    return group
+
+
+def least_g(found: list[float]) -> float:
+    """The G from which words tell the classes apart, by false-discovery control over all of them (Benjamini and
+    Hochberg; a word without difference has a chi-squared G of one degree)."""
+    for k, g in sorted(enumerate(sorted(found, reverse=True), 1), reverse=True):
+        if math.erfc(math.sqrt(g / 2)) <= FDR * k / len(found):
+            return g
+    return math.inf
+
+
+def dictionaries(toxic: list[tuple[str, float]], ordinary: list[tuple[str, float]]) -> tuple[bytes, bytes]:
+    """Dictionary contents (toxic, ordinary) from texts of the two classes, each with what it counts."""
     df = [Counter(), Counter()]
     for own, texts in zip(df, (toxic, ordinary), strict=True):
-        for text in texts:
-            own.update(set(words_of(text)))
-    n = [max(1, len(toxic)), max(1, len(ordinary))]
+        for text, part in texts:
+            for word in set(words_of(text)):
+                own[word] += part
+    n = [max(1.0, sum(part for _, part in texts)) for texts in (toxic, ordinary)]
     score = {}
     for word in df[0].keys() | df[1].keys():
         a, b = df[0][word], df[1][word]
         share, ratio = n[0] / (n[0] + n[1]), ((a + 0.5) / n[0]) / ((b + 0.5) / n[1])
         g = 2 * sum(k * math.log(k / ((a + b) * p)) for k, p in ((a, share), (b, 1 - share)) if k)
-        score[word] = (g if g >= G_MIN else 0, ratio, a + b)
+        score[word] = (max(g, 0.0), ratio, a + b)
+    least = least_g([x[0] for x in score.values()])
+    score = {w: (g if g >= least else 0, ratio, seen) for w, (g, ratio, seen) in score.items()}
     common = sorted((w for w, x in score.items() if 0.5 < x[1] < 2), key=lambda w: (-score[w][2], w))[:BASE_WORDS]
-    least = LEAST_SHARE * max((x[0] for x in score.values() if x[1] >= 3), default=0)
-    tox = sorted((w for w, x in score.items() if x[0] and x[0] >= least and x[1] >= 3), key=lambda w: (-score[w][0], w))[:CLASS_WORDS]
-    plain = sorted((w for w, x in score.items() if x[0] and x[1] <= 1 / 3), key=lambda w: (-score[w][0], w))[:CLASS_WORDS]
+    tox = sorted((w for w, x in score.items() if x[0] and x[1] >= 3), key=lambda w: (-score[w][0], w))
+    plain = sorted((w for w, x in score.items() if x[0] and x[1] <= 1 / 3), key=lambda w: (-score[w][0], w))
     telling = set(tox)
     parts = {w[i : i + k] for w in tox for k in (4, 5, 6, 7, 8) for i in range(len(w) - k + 1)}
     shared: dict[str, tuple] = {}  # the most frequent ordinary word with each part of a toxic one
@@ -83,7 +116,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         if w not in telling and df[1][w]:
             for part in {w[i : i + k] for k in (4, 5, 6, 7, 8) for i in range(len(w) - k + 1)} & parts:
                 shared[part] = max(shared.get(part, (0, "")), (seen, w))
-    plain = [*plain, *sorted({w for _, w in shared.values()} - set(plain))[: 2 * CLASS_WORDS]]
+    plain = [*plain, *sorted({w for _, w in shared.values()} - set(plain))]
     base, tails = written(reversed(common)), [written(reversed(own)) for own in (tox, plain)]
     size = max(map(len, tails))  # equal tails: what both hold lies at the same distance and costs the same in both
     return tuple(tail.rjust(size) + base for tail in tails)
@@ -94,9 +127,11 @@ class Toxicity:
         self.compress, self.weights = [], weights
         self.known: dict[str, bool] = {}  # what `holds` says of windows
         self.whole = 0
+        places = max(content.count(BEFORE) for content in contents)
+        search = min(MOST_SEARCH_LOG, max(SEARCH_LOG, places.bit_length()))
         for content in contents:
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, dict_size=len(content), source_size=96, search_log=SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False
+                LEVEL, dict_size=len(content), source_size=96, search_log=search, write_content_size=False, write_checksum=False, write_dict_id=False
             )
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(compression_params=params)
@@ -128,15 +163,15 @@ class Toxicity:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], x, strict=True))))))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
-    """Logistic weights (intercept first) by Newton's method."""
+def calibrate(x: np.ndarray, y: np.ndarray, parts: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Logistic weights (intercept first) by Newton's method; each row counts `parts`."""
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         penalty = ridge * np.eye(len(w))
         penalty[0, 0] = 1e-6
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(a.T @ (a * (parts * p * (1 - p))[:, None]) + penalty, a.T @ (parts * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -144,15 +179,28 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def fit_texts(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes], tuple[float, ...]] | None:
-    """Dictionaries from one half of the texts, the calibration from the other: what a dictionary was trained on
-    compresses too well to calibrate with. Then the dictionaries are trained anew on all."""
+    """The calibration comes from each half of the texts by dictionaries of the other half: what a dictionary was trained
+    on compresses too well to calibrate with. A set of copies stays in one half. Then the dictionaries are trained anew on
+    all."""
     if not toxic or not ordinary:
         return None
-    half = dictionaries(toxic[::2], ordinary[::2])
-    model = Toxicity(half)
-    rest = [(x, 1) for x in toxic[1::2] or toxic] + [(x, 0) for x in ordinary[1::2] or ordinary]
-    weights = calibrate(np.array([model.features(x) for x, _ in rest]), np.array([y for _, y in rest], float))
-    return dictionaries(toxic, ordinary), weights
+    classes, halves = [], []
+    for texts in (toxic, ordinary):
+        _, place, size = np.unique(copies(texts), return_inverse=True, return_counts=True)
+        counted = [(text, 1.0 / size[k]) for text, k in zip(texts, place, strict=True)]
+        classes.append(counted)
+        first, second = ([x for x, k in zip(counted, place, strict=True) if k % 2 == i] for i in (0, 1))
+        halves.append((first, second or first))
+    x, y, parts = [], [], []
+    for i in (0, 1):
+        model = Toxicity(dictionaries(*(own[i] for own in halves)))
+        for kind, own in zip((1.0, 0.0), halves, strict=True):
+            for text, part in own[1 - i]:
+                x.append(model.features(text))
+                y.append(kind)
+                parts.append(part)
+    weights = calibrate(np.array(x), np.array(y), np.array(parts))
+    return dictionaries(*classes), weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT):

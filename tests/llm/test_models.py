@@ -113,6 +113,23 @@ def test_toxicity_held_out(spark):
     assert caught >= 0.7 and wrong <= 0.02 and all(0 <= s <= 1 and p == (s >= 0.7) for _, p, s in held)
 
 
+def test_toxicity_outlives_copies():
+    """A third of the toxic texts are (near) copies of one text of many rare words: the words of the others still count."""
+    rnd = random.Random(4)
+    docs = pq.read_table(f"{LARGER}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    texts = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    labels = [(r["doc_id"], r["toxic"]) for r in pq.read_table(f"{LARGER}/labels.parquet").to_pylist() if r["toxic"] is not None and texts.get(r["doc_id"])]
+    train = [(texts[d], y) for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    held = [texts[d] for d, y in labels if y and zlib.crc32(str(d).encode()) % 3 == 1]
+    toxic, ordinary = ([t for t, y in train if y == k] for k in (1, 0))
+    rare = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(5, 10))) for _ in range(1400)]
+    copies = [" ".join([*rare[:k], "changed", *rare[k:]]) for k in range(len(toxic) // 2)]
+    model = toxicity.Toxicity(*toxicity.fit_texts([*toxic, *copies], ordinary))
+    assert sum(model.score(x) >= toxicity.THRESHOLD for x in held) >= 0.7 * len(held)
+    assert not any(model.holds([x]) for x in rare)
+    assert toxicity.copies(["a b c d", "x y z", "a b c d", "", ""]).tolist() == [0, 1, 0, 3, 3]
+
+
 def test_toxicity_edges(spark, odd, crowded, empty):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     for model in (None, toxicity.fit(odd, labels), toxicity.fit(odd, labels.limit(0))):
