@@ -1,4 +1,6 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
+"""Toxicity by a word list scored through zstandard: one dictionary of toxic words, one of ordinary words.
+
+Wording that is toxic only over several words does not count; the README has what multi-word windows gave.
 
 A text is lower-cased and cut in windows of words (one by default, between marks). Each window is compressed with both dictionaries; where the
 toxic one saves bytes, the window speaks like toxic text. The two dictionaries are trained on the words that labelled
