@@ -8,9 +8,9 @@ are not inside a base span and
   none of three tests rejects uniform symbols (chi-squared of the alphabet, runs above and below its middle, serial
   correlation; Bonferroni over the three);
 * do not look like ordinary words: p is the chance that ordinary letters come as near to uniform as this, times the
-  chance that ordinary text stays in the alphabet or changes between letters and digits as often. Each p counts as many
-  times as a run of that length could stand in the text (length-aware), and Benjamini-Hochberg over the text's runs
-  bounds the false discovery rate at `FDR`.
+  chance that ordinary text stays in the alphabet or changes between letters and digits as often. p is of the run's own
+  length (length-aware), and Benjamini-Hochberg over the runs that the text has bounds the false discovery rate at
+  `FDR`: how much other text stands around a run does not count.
 
 Places are code points, end exclusive. They come from the lengths of matches and of what stands between them, as Spark
 has no function for the places of all matches.
@@ -119,13 +119,12 @@ def _tests(run: Column) -> Column:
 
 def _random_spans(text: Column, base: Column) -> Column:
     """`random` spans outside the base spans, under false-discovery control over the text's runs."""
-    length = F.length(text).cast("double")
     runs = _zip_spans(text, RUN, 3)
 
     def tested(s):
         size = s["end"] - s["start"]
         tests = _tests(F.substr(text, s["start"] + 1, size))
-        return F.struct(s.alias("span"), tests["random"].alias("random"), (tests["ordinary"] * length / size).alias("p"))
+        return F.struct(s.alias("span"), tests["random"].alias("random"), (tests["ordinary"] * F.size(runs)).alias("p"))
 
     def chosen(x):
         ps = F.array_sort(F.transform(x, lambda r: r["p"]))
