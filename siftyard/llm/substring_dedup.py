@@ -3,8 +3,9 @@
 A window is `window` consecutive words; each word covered by a window whose word sequence also starts anywhere else is
 removed. Every window has an anchor: the leftmost smallest of the hashes of the shorter word spans inside it. Equal
 windows have equal anchors at the same place, so only anchors, one for some thirteen windows, enter the index. It
-consists of sorted immutable runs, bucketed by hash: every new batch is probed against them by merge join and becomes
-a run itself, and runs are compacted into one when there are too many. What the index proposes is then verified:
+consists of sorted immutable runs, bucketed by hash, that are compacted into one when there are too many. The rows of
+one table are appended in `batches`, compacted, and then all anchors are probed once by merge join. There is no operator
+that probes a new batch against the index of an earlier job. What the index proposes is then verified:
 
 1. Windows next to each other that share an anchor are a group; 128 bits over the group's words confirm that it stands
    whole elsewhere. Inside a repeated passage that settles up to 26 windows with one row.
