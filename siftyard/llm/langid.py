@@ -2,7 +2,11 @@
 
 Every language's dictionary is text of that language, in lower case; a text, in lower case too, is cut in blocks, each block is compressed with each
 dictionary, and the language with the smallest sum wins. The relative gap to the second is the margin; below
-`min_margin` the prediction is marked as rejected.
+`min_margin`, or below the fitted least margin of texts as long as this one, the prediction is marked as rejected.
+
+The least margins are fitted on texts that the dictionaries do not hold, each half of the sample by the other half. A
+text with its own language's dictionary shows right margins, without it those of a language not learned. The least
+margin is what 99 % of the latter stay below, but no more than 99 % of the former reach.
 
 Fitting reads a bounded sample: up to `SAMPLE_DOCS` documents of each language, chosen by a hash of the row, and of
 each an excerpt of at most `EXCERPT` characters. All else (language counts, prediction) covers all rows and whole texts.
@@ -32,30 +36,73 @@ SHORT_BYTES, SHORT_LEVEL = 512, 19
 #: Opens every block and ends every dictionary: a block then always compresses, and small gains of short texts show.
 MARK = bytes(range(1, 32)) * 2
 MIN_MARGIN = 0.001
+#: Lengths in bytes that least margins are fitted for (a text goes by the longest not longer than itself), texts that
+#: are fitted on (shared by the languages, LEAST_TEXTS of each at least), and the share that may lie beyond a bound.
+LENGTHS, CALIBRATE_TEXTS, LEAST_TEXTS, BEYOND = (64, 256, 1024, 1900), 400, 10, 0.01
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT) -> list[tuple[str, bytes]]:
+class Model(list):
+    """(language, dictionary content) of each language, and the least margin of each length."""
+
+    margins: tuple[tuple[int, float], ...] = ()
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT) -> Model:
     """(language, dictionary content), the most frequent language first. Two passes: counts, then the sample."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != 0))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return []
+        return Model()
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, math.ceil(scale * 2 * sample_docs / n)))])
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
     sample = (
         rows.filter(key < share[F.col("lang")]).select("lang", key.alias("key"), F.substring("text", 1, excerpt).alias("text")).collect()
     )
-    out = []
+    out, texts = Model(), {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
         own = sorted({(r["key"], r["text"]) for r in sample if r["lang"] == lang})[:sample_docs]
-        out.append((lang, "\n".join(x for _, x in own).lower().encode()[-DICT_BYTES:]))
+        texts[lang] = [x for _, x in own]
+        out.append((lang, content_of(texts[lang])))
+    out.margins = calibrate(texts)
     return out
 
 
+def content_of(texts: list[str]) -> bytes:
+    return "\n".join(texts).lower().encode()[-DICT_BYTES:]
+
+
+def calibrate(texts: dict[str, list[str]]) -> tuple[tuple[int, float], ...]:
+    """(length, least margin) from the sampled texts of each language. With fewer than three languages, a text without
+    its own has no second one, and there are none."""
+    if len(texts) < 3:
+        return ()
+    each = max(LEAST_TEXTS, CALIBRATE_TEXTS // len(texts))
+    right, other = {n: [] for n in LENGTHS}, {n: [] for n in LENGTHS}
+    for half in (0, 1):
+        languages = Languages([(lang, content_of(own[half::2])) for lang, own in texts.items()])
+        for lang, own in texts.items():
+            for text in own[1 - half :: 2][: each // 2]:
+                for n in LENGTHS:
+                    data = text.lower().encode()[:n]
+                    if len(data) < n or lang not in languages.names or len(languages.names) < 3 or not _LETTER.search(text):
+                        continue
+                    sizes = languages.sizes(data)
+                    best, margin = winner(sizes)
+                    if languages.names[best] == lang:
+                        right[n].append(margin)
+                    other[n].append(winner([x for x, k in zip(sizes, languages.names, strict=True) if k != lang])[1])
+    out = []
+    for n in LENGTHS:
+        if right[n] and other[n]:
+            low, high = sorted(right[n]), sorted(other[n])
+            out.append((n, min(low[int(BEYOND * len(low))], high[int((1 - BEYOND) * (len(high) - 1))])))
+    return tuple(out)
+
+
 def compressor(content: bytes, level: int, source_size: int):
     """The compress function of a raw-content dictionary, without the frame's optional fields."""
     params = zstandard.ZstdCompressionParameters.from_level(
@@ -66,30 +113,43 @@ def compressor(content: bytes, level: int, source_size: int):
     return zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress
 
 
+def winner(sizes: list[int]) -> tuple[int, float]:
+    """The place of the smallest size (two at least), and the relative gap to the second."""
+    best = min(range(len(sizes)), key=sizes.__getitem__)
+    second = min(x for i, x in enumerate(sizes) if i != best)
+    return best, (second - sizes[best]) / second
+
+
 class Languages:
     def __init__(self, model: list[tuple[str, bytes]]):
+        self.margins = getattr(model, "margins", ())
         model = [(lang, content) for lang, content in model if len(content) >= 8]
         self.names = [lang for lang, _ in model]
         self.long = [compressor(content, LEVEL, BLOCK_BYTES) for _, content in model]
         self.short = [compressor(content, SHORT_LEVEL, SHORT_BYTES) for _, content in model]
 
+    def sizes(self, data: bytes) -> list[int]:
+        blocks = [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+        return [sum(len(f(b)) for b in blocks) for f in (self.short if len(data) <= SHORT_BYTES else self.long)]
+
+    def least(self, text: str | None) -> float:
+        """The least margin of texts as long as this one; none (0) for texts shorter than all that were fitted."""
+        size = len(text.lower().encode()) if text and self.margins else 0
+        return next((x for n, x in reversed(self.margins) if n <= size), 0.0)
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, margin."""
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, 0.0
-        data = text.lower().encode()
-        blocks = [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        sizes = [sum(len(f(b)) for b in blocks) for f in (self.short if len(data) <= SHORT_BYTES else self.long)]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
+        sizes = self.sizes(text.lower().encode())
         if len(sizes) == 1:
-            return self.names[best], 1.0, 1.0
-        second = min(x for i, x in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
+            return self.names[0], 1.0, 1.0
+        best, margin = winner(sizes)
         return self.names[best], 1 - math.exp(-30 * margin), margin
 
 
 def _model(shared) -> Languages:
-    return resident(("languages", hash(tuple(shared.value))), lambda: Languages(shared.value))
+    return resident(("languages", hash((tuple(shared.value), getattr(shared.value, "margins", ())))), lambda: Languages(shared.value))
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, keep: bool = False) -> DataFrame:
@@ -101,9 +161,10 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
     def run(batches):
         languages = _model(shared)
         for batch in batches:
-            found = [languages.predict(x) for x in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = [languages.predict(x) for x in texts]
             pred = pa.array([x[0] for x in found], pa.string())
-            rejected = pa.array([x[0] == "und" or x[2] < min_margin for x in found], pa.bool_())
+            rejected = pa.array([x[0] == "und" or x[2] < max(min_margin, languages.least(t)) for t, x in zip(texts, found, strict=True)], pa.bool_())
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pred, rejected], [*batch.schema.names, "__lang_pred", "__rejected"])
                 continue

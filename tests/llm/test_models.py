@@ -147,6 +147,20 @@ def test_language_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) >= 0.95
 
 
+def test_language_rejects_by_margin(spark):
+    """Gibberish and text of a language not learned is rejected though it has a prediction; learned ones stay."""
+    rnd = random.Random(2)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").filter("length(text) >= 2000")
+    made = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(n)) for n in (60, 200, 400) for _ in range(10)]
+    gibberish = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    model = langid.fit(docs.filter("lang <> 'es'"))
+    assert [n for n, _ in model.margins] == list(langid.LENGTHS)
+    spoken = docs.withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    for source, least, most in ((gibberish, 0.9, 1), (spoken.filter("lang = 'es'"), 0.9, 1), (spoken.filter("lang <> 'es' and held"), 0, 0.05)):
+        found = langid.identify(source, model).collect()
+        assert all(r["lang_pred"] != "und" for r in found) and least <= sum(r["rejected"] for r in found) / len(found) <= most
+
+
 def test_language_edges(spark, odd, crowded, empty):
     model = [("de", b"der die das und ist nicht ein eine mit auf " * 9), ("en", b"the of and is not a with on this that " * 9)]
     for own in (model, [], model[:1], langid.fit(odd)):
