@@ -1,21 +1,36 @@
-"""Toxicity by a word list scored through zstandard: one dictionary of toxic words, one of ordinary words.
-
-Wording that is toxic only over several words does not count; the README has what multi-word windows gave.
-
-A text is lower-cased and cut in windows of words (one by default, between marks). Each window is compressed with both dictionaries; where the
-toxic one saves bytes, the window speaks like toxic text. The two dictionaries are trained on the words that labelled
-toxic and ordinary documents use significantly more often than the other class, upon the same base of common words, so
-that the difference of two lengths holds what tells the classes apart and little else. A set of copies and near copies
-counts as one document, each of its texts for its part of it; every word is tested by itself, however many pass. A window that the toxic
-dictionary holds whole comes down to the length of one match, a threshold taken from its own words. The number of
-such windows and of all windows are turned into a probability by a logistic curve fitted on the training rows: the calibration.
-
-Fitting reads a bounded sample: up to `SAMPLE_DOCS` labelled documents of each class, chosen by a hash of the row,
-from rows outside the held-out fold, and of each an excerpt of at most `EXCERPT` characters. Scoring covers every row and whole texts.
-
-Edge cases: null and empty texts and texts without a letter have no window and get the score of no savings. Without
-training rows of both classes every score is 0.5 (predicted 0). Repeated labels of a document count as toxic if any
-says so; null labels are ignored. Repeated rows give a row each; other columns are ignored.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window by window.
+
+A text's words, in lower case, are read in windows of `WINDOW_WORDS` consecutive words, one from every word on. A window
+is compressed with the toxic and with the ordinary dictionary; what the toxic one saves is its distance. The dictionaries
+are text of the labelled documents: both begin with the same ordinary text (`base`), so that common matter costs the same
+in either, and end in passages of their own class, equally far from the end.
+
+Which passages: each half of the texts is compressed with dictionaries of the other half. Windows of toxic text on which
+the toxic dictionary saves enough are kept (wording that other toxic texts have too); enough is where ordinary text has
+`CHANCE` times as many such windows or fewer. Ordinary windows on which it saves `LEAST_TELLING` bytes are kept for the
+ordinary dictionary, so that it stops doing so. That is done `ROUNDS` times, the first time with all text of the class.
+Beyond `DICT_BYTES` those of smallest hash are taken.
+
+Calibration: each half is compressed with the last dictionaries of the other half. For each of two thresholds a text has a
+number of different windows that save so much, and an expected number by the rate of ordinary texts; the root of the
+Poisson deviance between them says how far it is beyond chance, whatever the length. A logistic curve over both turns that
+into a probability, each class counted for as many labelled documents as it has. The pair of thresholds is the one of least
+log loss. All of it sees rows outside the held-out fold only; near copies count as one text.
+
+A window counts only if it has a stretch of as many bytes as one of `GRAMS` that the toxic dictionary has and the ordinary one
+has not (the short one finds words, the long one wording across words); others are not compressed. Savings without one come from how common pieces happen to lie in the dictionaries; on learning rows they
+were as frequent in ordinary text as in toxic text, and more frequent than all others. So a phrase is learnt if such a stretch
+of it is rare in ordinary text; one whose every stretch is common there is not seen.
+
+Fitting reads a bounded sample: up to `SAMPLE_DOCS` labelled documents of each class (twice as many ordinary ones, half of
+them for the base), chosen by a hash of the id, and of each up to `SAMPLE_STRETCHES` different stretches of `STRETCH_WORDS`
+words, those of smallest hash, from all over the text. They are cut on the executors. Scoring covers every row and whole
+texts.
+
+Edge cases: null and empty texts and texts without a letter have no window and the score of none that saves. With fewer
+than two different texts in either class every score is 0.5 (predicted 0). Repeated labels of a document count as toxic if
+any says so; null labels are ignored; of rows that repeat an id one is learnt from. Repeated rows give a row each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +38,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,134 +49,143 @@ from siftyard.llm.common import fold, fold_column, read, resident
 from siftyard.llm.hashing import mix
 
 FOLDS, HELD_OUT = 3, 1
-BEFORE, AFTER = bytes(range(1, 9)), bytes(range(14, 22))
-#: Labelled documents of each class that are fitted on, and characters of each.
-SAMPLE_DOCS, EXCERPT = 3000, 50_000
-WINDOW_WORDS, LEVEL = 1, 19
-#: All words open with one mark, so the compressor must look at every place of it to find the word's own: 2**12, or
-#: more where the dictionaries hold more words.
-SEARCH_LOG, MOST_SEARCH_LOG = 12, 26
-#: Windows whose result a worker remembers before it starts anew.
-KEPT_WINDOWS = 500_000
-BASE_WORDS = 1000
-#: Share of the words taken as telling the classes apart, by the log-likelihood ratio (G), that may be so by chance.
-FDR = 0.05
-#: Texts are copies if this share of their two-word sketches of SKETCH numbers agrees.
+#: Labelled documents of each class that are fitted on, and different stretches of STRETCH_WORDS words of each.
+SAMPLE_DOCS, SAMPLE_STRETCHES, STRETCH_WORDS = 1000, 32, 12
+WINDOW_WORDS, ROUNDS, GRAMS = 3, 2, (5, 12)
+#: Bounds of the saving from which windows go into the dictionaries, and the chance windows among them.
+LEAST_TELLING, MOST_TELLING, CHANCE = 3, 12, 0.1
+BASE_BYTES, DICT_BYTES = 4 << 20, 16 << 10
+#: Opens every window and ends every dictionary: without it short windows do not compress, and zstandard stores them as they are.
+MARK = bytes(range(1, 32)) * 3
+PAIRS = ((2, 4), (3, 5), (4, 6), (5, 7), (6, 8))
+THRESHOLDS = tuple(range(2, 9))
+#: Windows beyond chance: what is added to the expected number of windows that save.
+LEAST_EXPECTED = 0.02
+#: Texts are copies if this share of their sketches of SKETCH numbers agrees.
 SKETCH, ALIKE = 64, 0.5
-MIN_SAVED = 2
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
+_BITS = 22
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
+def spoken(text: str | None) -> bytes:
+    """The words with one blank around each."""
+    words = _WORD.findall(text.lower()) if text else []
+    return f" {' '.join(words)} ".encode() if words else b""
+
+
+def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows start and end in what `spoken` gives."""
+    blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    k = min(WINDOW_WORDS, max(0, len(blanks) - 1))
+    return (blanks[: len(blanks) - k], blanks[k:] + 1) if k else (blanks[:0], blanks[:0])
+
+
+def stretches(text: str | None, most: int) -> list[bytes]:
+    """Up to `most` different stretches of STRETCH_WORDS words of a text, those of smallest hash, in the order of the text."""
+    words = _WORD.findall(text.lower()) if text else []
+    found = list(dict.fromkeys(" ".join(words[i : i + STRETCH_WORDS]).encode() for i in range(0, len(words), STRETCH_WORDS)))
+    if len(found) <= most:
+        return found
+    chosen = set(sorted(found, key=lambda x: (zlib.crc32(x), x))[:most])
+    return [x for x in found if x in chosen]
+
+
+def grams(data: bytes, size: int) -> np.ndarray:
+    """The stretches of `size` bytes, as hashes."""
+    raw, n = np.frombuffer(data, np.uint8), max(0, len(data) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for i in range(size if n else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + raw[i : n + i]
+    return mix(out)
+
+
+def compressor(content: bytes):
+    """The compressed size of a window with this dictionary: the whole of it is searched, for matches of three bytes on."""
+    content += MARK
+    log = max(10, (len(content) - 1).bit_length())
+    params = zstandard.ZstdCompressionParameters(
+        window_log=min(27, log + 1), chain_log=min(29, log + 1), hash_log=min(27, log), search_log=8, min_match=3, target_length=999,
+        strategy=zstandard.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=params)
+    compress = zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress
+    return lambda window: len(compress(MARK + window))
+
+
+class Distance:
+    """What the toxic dictionary saves against the ordinary one."""
+
+    def __init__(self, base: bytes, toxic: bytes, ordinary: bytes):
+        size = max(len(toxic), len(ordinary))
+        self.toxic, self.ordinary = compressor(base + toxic.rjust(size)), compressor(base + ordinary.rjust(size))
+        self.only = []
+        for k in GRAMS:
+            own, table = np.setdiff1d(grams(toxic, k), np.concatenate([grams(base, k), grams(ordinary, k)])), np.zeros(1 << _BITS, bool)
+            table[own >> np.uint64(64 - _BITS)] = True
+            self.only.append((k, own, table))
+
+    def of(self, window: bytes) -> int:
+        return self.ordinary(window) - self.toxic(window)
+
+    def saved(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the windows of `data`, and what each saves."""
+        start, end = places(data)
+        out = np.zeros(len(start), np.int64)
+        if len(start):
+            at = np.flatnonzero(self.likely(data, start, end))
+            out[at] = [self.of(data[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        return start, end, out
+
+    def likely(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which windows have a stretch that only the toxic dictionary has."""
+        out = np.zeros(len(start), bool)
+        for k, own, table in self.only:
+            h = grams(data, k)
+            known = table[h >> np.uint64(64 - _BITS)]
+            if len(own):
+                at = np.flatnonzero(known)
+                known[at] = own[np.minimum(np.searchsorted(own, h[at]), len(own) - 1)] == h[at]
+            known = np.concatenate([[0], np.cumsum(known)])
+            last = np.clip(end - k + 1, start, len(known) - 1)
+            out |= known[last] > known[np.minimum(start, len(known) - 1)]
+        return out
+
+
+def beyond(count: int, n: int, rate: float) -> float:
+    """How far `count` windows out of `n` are beyond what the rate of ordinary texts lets expect; 0 if they are not."""
+    expected = n * rate + LEAST_EXPECTED
+    return math.sqrt(2 * (count * math.log(count / expected) - count + expected)) if count > expected else 0.0
+
+
+def counted(parts: list[bytes], distance: Distance, thresholds) -> tuple[int, list[int]]:
+    n, found = 0, {}
+    for data in parts:
+        start, end, saved = distance.saved(data)
+        n += len(start)
+        at = np.flatnonzero(saved)
+        found.update((data[start[i] : end[i]], saved[i]) for i in at)
+    return n, [sum(int(x >= t) for x in found.values()) for t in thresholds]
 
-def written(words) -> bytes:
-    """Words with marks before and after, so that a match of a whole word is longer than one of its parts."""
-    return b"".join(BEFORE + w.encode() + AFTER for w in words)
 
+class Toxicity:
+    def __init__(self, base: bytes, toxic: bytes, ordinary: bytes, thresholds, rates, weights):
+        self.distance, self.thresholds, self.rates, self.weights = Distance(base, toxic, ordinary), thresholds, rates, weights
 
-def copies(texts: list[str]) -> np.ndarray:
-    """For each text the number of the first text of its set of near copies."""
-    rnd = np.random.default_rng(1)
-    times, plus = rnd.integers(1, 1 << 62, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(0, 1 << 62, SKETCH, np.uint64)
-    sketches = np.zeros((len(texts), SKETCH), np.uint64)
-    for i, text in enumerate(texts):
-        words = words_of(text)
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or {" ".join(words)}
-        h = mix(np.fromiter((zlib.crc32(x.encode()) for x in pairs), np.uint64, len(pairs)))
-        sketches[i] = [mix(h * t + p).min() for t, p in zip(times, plus, strict=True)]
-    group = np.full(len(texts), -1)
-    for i in range(len(texts)):
-        if group[i] < 0:
-            rest = np.flatnonzero(group < 0)
-            group[rest[(sketches[rest] == sketches[i]).mean(axis=1) >= ALIKE]] = i
-    return group
-
-
-def least_g(found: list[float]) -> float:
-    """The G from which words tell the classes apart, by false-discovery control over all of them (Benjamini and
-    Hochberg; a word without difference has a chi-squared G of one degree)."""
-    for k, g in sorted(enumerate(sorted(found, reverse=True), 1), reverse=True):
-        if math.erfc(math.sqrt(g / 2)) <= FDR * k / len(found):
-            return g
-    return math.inf
-
-
-def dictionaries(toxic: list[tuple[str, float]], ordinary: list[tuple[str, float]]) -> tuple[bytes, bytes]:
-    """Dictionary contents (toxic, ordinary) from texts of the two classes, each with what it counts."""
-    df = [Counter(), Counter()]
-    for own, texts in zip(df, (toxic, ordinary), strict=True):
-        for text, part in texts:
-            for word in set(words_of(text)):
-                own[word] += part
-    n = [max(1.0, sum(part for _, part in texts)) for texts in (toxic, ordinary)]
-    score = {}
-    for word in df[0].keys() | df[1].keys():
-        a, b = df[0][word], df[1][word]
-        share, ratio = n[0] / (n[0] + n[1]), ((a + 0.5) / n[0]) / ((b + 0.5) / n[1])
-        g = 2 * sum(k * math.log(k / ((a + b) * p)) for k, p in ((a, share), (b, 1 - share)) if k)
-        score[word] = (max(g, 0.0), ratio, a + b)
-    least = least_g([x[0] for x in score.values()])
-    score = {w: (g if g >= least else 0, ratio, seen) for w, (g, ratio, seen) in score.items()}
-    common = sorted((w for w, x in score.items() if 0.5 < x[1] < 2), key=lambda w: (-score[w][2], w))[:BASE_WORDS]
-    tox = sorted((w for w, x in score.items() if x[0] and x[1] >= 3), key=lambda w: (-score[w][0], w))
-    plain = sorted((w for w, x in score.items() if x[0] and x[1] <= 1 / 3), key=lambda w: (-score[w][0], w))
-    telling = set(tox)
-    parts = {w[i : i + k] for w in tox for k in (4, 5, 6, 7, 8) for i in range(len(w) - k + 1)}
-    shared: dict[str, tuple] = {}  # the most frequent ordinary word with each part of a toxic one
-    for w, (_, _, seen) in score.items():
-        if w not in telling and df[1][w]:
-            for part in {w[i : i + k] for k in (4, 5, 6, 7, 8) for i in range(len(w) - k + 1)} & parts:
-                shared[part] = max(shared.get(part, (0, "")), (seen, w))
-    plain = [*plain, *sorted({w for _, w in shared.values()} - set(plain))]
-    base, tails = written(reversed(common)), [written(reversed(own)) for own in (tox, plain)]
-    size = max(map(len, tails))  # equal tails: what both hold lies at the same distance and costs the same in both
-    return tuple(tail.rjust(size) + base for tail in tails)
+    def counts(self, text: str | None) -> tuple[int, list[int]]:
+        """Windows; different ones that save as much as each threshold."""
+        return counted([spoken(text)], self.distance, self.thresholds)
 
+    def score(self, text: str | None) -> float:
+        n, found = self.counts(text)
+        return probability(self.weights, [beyond(k, n, r) for k, r in zip(found, self.rates, strict=True)])
 
-class Toxicity:
-    def __init__(self, contents: tuple[bytes, bytes], weights: tuple[float, ...] = ()):
-        self.compress, self.weights = [], weights
-        self.known: dict[str, bool] = {}  # what `holds` says of windows
-        self.whole = 0
-        places = max(content.count(BEFORE) for content in contents)
-        search = min(MOST_SEARCH_LOG, max(SEARCH_LOG, places.bit_length()))
-        for content in contents:
-            params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, dict_size=len(content), source_size=96, search_log=search, write_content_size=False, write_checksum=False, write_dict_id=False
-            )
-            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(compression_params=params)
-            self.compress.append(zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress)
-        held = sorted(len(self.compress[0](written([w]))) for w in re.findall(re.escape(BEFORE) + b"(.+?)" + re.escape(AFTER), contents[0].lstrip()) for w in [w.decode()])
-        self.whole = held[len(held) // 2] if held else 0
-
-    def holds(self, window: list[str]) -> bool:
-        """Whether the toxic dictionary holds the window whole, and the other takes at least MIN_SAVED bytes more."""
-        data = written(window)
-        size = len(self.compress[0](data))
-        return size <= self.whole and len(self.compress[1](data)) - size >= MIN_SAVED
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """log(1 + x) of the windows that speak like toxic text, and of all windows."""
-        words = words_of(text)
-        if len(self.known) > KEPT_WINDOWS:
-            self.known.clear()
-        known, step = self.known, WINDOW_WORDS
-        windows = words if step == 1 else ["\n".join(words[i : i + step]) for i in range(0, len(words), step)]
-        for window in set(windows).difference(known):
-            known[window] = self.holds(window.split("\n"))
-        return math.log1p(sum(map(known.__getitem__, windows))), math.log1p(len(windows))
 
-    def score(self, text: str | None) -> float:
-        if not self.weights:
-            return 0.5
-        x = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], x, strict=True))))))
+def probability(weights, x) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, weights[0] + sum(a * b for a, b in zip(weights[1:], x, strict=True))))))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, parts: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -180,48 +203,119 @@ def calibrate(x: np.ndarray, y: np.ndarray, parts: np.ndarray, ridge: float = 0.
     return tuple(float(v) for v in w)
 
 
-def fit_texts(toxic: list[str], ordinary: list[str]) -> tuple[tuple[bytes, bytes], tuple[float, ...]] | None:
-    """The calibration comes from each half of the texts by dictionaries of the other half: what a dictionary was trained
-    on compresses too well to calibrate with. A set of copies stays in one half. Then the dictionaries are trained anew on
-    all."""
-    if not toxic or not ordinary:
+def different(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """The first text of every set of near copies, by sketches of their pairs of words."""
+    rnd = np.random.default_rng(1)
+    times, plus = rnd.integers(1, 1 << 62, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(0, 1 << 62, SKETCH, np.uint64)
+    texts = [x for x in texts if any(x)]
+    sketches = np.zeros((len(texts), SKETCH), np.uint64)
+    for i, own in enumerate(texts):
+        words = [x for part in own for x in part.split()]
+        pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
+        h = mix(np.fromiter(map(zlib.crc32, pairs), np.uint64, len(pairs)))
+        sketches[i] = mix(h[:, None] * times + plus).min(axis=0)
+    left, out = np.ones(len(texts), bool), []
+    for i in range(len(texts)):
+        if left[i]:
+            out.append(texts[i])
+            left &= (sketches == sketches[i]).mean(axis=1) < ALIKE
+    return out
+
+
+def telling(texts: tuple, distance: Distance) -> tuple[list[bytes], list[bytes]]:
+    """Of both classes (lists of stretches) what saves enough, windows that overlap as one piece. Enough is the least saving
+    of which ordinary text has at most CHANCE times as many windows as toxic text, relative to all windows of each."""
+    found = [[(x, *distance.saved(x)) for x in own] for own in texts]
+    n = [max(1, sum(len(x[1]) for x in own)) for own in found]
+    share = lambda k, t: sum(int((x[3] >= t).sum()) for x in found[k]) / n[k]
+    least = next((t for t in range(LEAST_TELLING, MOST_TELLING) if share(1, t) <= CHANCE * share(0, t)), MOST_TELLING)
+    out = []
+    for own, enough in zip(found, (least, LEAST_TELLING), strict=True):
+        pieces = []
+        for data, start, end, saved in own:
+            last = -1
+            for i in np.flatnonzero(saved >= enough).tolist():
+                a = max(int(start[i]), last)
+                pieces.append(data[a : end[i]])
+                last = int(end[i])
+        out.append(pieces)
+    return tuple(out)
+
+
+def bounded(pieces: list[bytes]) -> bytes:
+    """As many of the pieces as DICT_BYTES hold, those of smallest hash."""
+    size, out = 0, []
+    for x in sorted(pieces, key=lambda x: (zlib.crc32(x), x)):
+        size += len(x)
+        if size > DICT_BYTES:
+            break
+        out.append(x)
+    return b"".join(out)
+
+
+def fit_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]], n_toxic: float = 1, n_ordinary: float = 1):
+    """base, toxic and ordinary dictionary contents, thresholds, rates, weights; from the sampled stretches of each text and
+    the labelled documents of each class."""
+    toxic, ordinary = ([[b" " + x + b" " for x in text] for text in different(own)] for own in (toxic, ordinary))
+    if len(toxic) < 2 or len(ordinary) < 2:
         return None
-    classes, halves = [], []
-    for texts in (toxic, ordinary):
-        _, place, size = np.unique(copies(texts), return_inverse=True, return_counts=True)
-        counted = [(text, 1.0 / size[k]) for text, k in zip(texts, place, strict=True)]
-        classes.append(counted)
-        first, second = ([x for x, k in zip(counted, place, strict=True) if k % 2 == i] for i in (0, 1))
-        halves.append((first, second or first))
-    x, y, parts = [], [], []
-    for i in (0, 1):
-        model = Toxicity(dictionaries(*(own[i] for own in halves)))
-        for kind, own in zip((1.0, 0.0), halves, strict=True):
-            for text, part in own[1 - i]:
-                x.append(model.features(text))
-                y.append(kind)
-                parts.append(part)
-    weights = calibrate(np.array(x), np.array(y), np.array(parts))
-    return dictionaries(*classes), weights
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT):
+    half = len(ordinary) // 2
+    base, rest = b"".join(x for text in ordinary[:half] for x in text)[:BASE_BYTES], ordinary[half:]
+    texts = [(toxic[i::2], rest[i::2]) for i in (0, 1)]
+    every = [tuple([x for text in own for x in text] for own in classes) for classes in texts]
+    made = [(b"".join(a), b"".join(b)[: sum(map(len, a))]) for a, b in every]
+    for _ in range(ROUNDS):
+        kept = [telling(every[i], Distance(base, *made[1 - i])) for i in (0, 1)]
+        made = [tuple(map(bounded, x)) for x in kept]
+    found, y = [], []
+    for i, classes in enumerate(texts):
+        distance = Distance(base, *made[1 - i])
+        for kind, own in zip((1.0, 0.0), classes, strict=True):
+            told = [counted(x, distance, THRESHOLDS) for x in own]
+            found += [dict(zip((0, *THRESHOLDS), (n, *over), strict=True)) for n, over in told]
+            y += [kind] * len(own)
+    y = np.array(y)
+    parts = np.where(y == 1, n_toxic / y.sum(), n_ordinary / max(1, len(y) - y.sum()))
+    parts = parts * len(y) / parts.sum()
+    best = None
+    for thresholds in PAIRS:
+        plain = [x for x, kind in zip(found, y, strict=True) if not kind]
+        rates = tuple((float(sum(x[t] for x in plain)) + 0.5) / (sum(x[0] for x in plain) + 1) for t in thresholds)
+        x = np.array([[beyond(v[t], v[0], r) for t, r in zip(thresholds, rates, strict=True)] for v in found])
+        weights = calibrate(x, y, parts)
+        p = np.array([probability(weights, v) for v in x])
+        loss = float(-(parts * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
+        if best is None or loss < best[0]:
+            best = loss, thresholds, rates, weights
+    return base, *(bounded(kept[0][k] + kept[1][k]) for k in (0, 1)), *best[1:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_STRETCHES):
     """The model from labelled rows outside the held-out fold."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    scale = 1 << 30
-    share = F.when(F.col("toxic") == 1, min(scale, math.ceil(scale * 1.2 * sample_docs / counts[1]))).otherwise(min(scale, math.ceil(scale * 1.2 * sample_docs / counts[0])))
+    scale, wanted = 1 << 30, {1: sample_docs, 0: 2 * sample_docs}
+    share = F.when(F.col("toxic") == 1, min(scale, math.ceil(scale * 1.2 * wanted[1] / counts[1]))).otherwise(min(scale, math.ceil(scale * 1.2 * wanted[0] / counts[0])))
     chosen = rows.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).filter(F.col("key") < share)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, excerpt).alias("text")).filter(F.col("text").isNotNull())
-    got = sorted((r["key"], r["text"], r["toxic"]) for r in source.join(F.broadcast(chosen), "doc_id").select("key", "text", "toxic").collect())
-    return fit_texts([t for _, t, y in got if y == 1][:sample_docs], [t for _, t, y in got if y == 0][:sample_docs])
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+
+    def cut(batches):
+        for batch in batches:
+            found = [stretches(x, most) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "key", "toxic")), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "key", "toxic", "stretches"])
+
+    found = source.select("doc_id", "key", "toxic", "text").mapInArrow(cut, "doc_id long, key long, toxic int, stretches array<binary>")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("key", "toxic", "stretches"), F.xxhash64("stretches")).alias("x")).select("x.*", "doc_id")
+    got = sorted((r["key"], r["doc_id"], r["toxic"], [bytes(w) for w in r["stretches"]]) for r in one.collect())
+    own = [[w for _, _, y, w in got if y == k][: wanted[k]] for k in (1, 0)]
+    return fit_stretches(*own, counts[1], counts[0])
 
 
-def _model(value) -> Toxicity:
-    return resident(("toxicity", hash(value)), lambda: Toxicity(*value) if value else Toxicity((b" " * 8, b" " * 8)))
+def _model(value) -> Toxicity | None:
+    return resident(("toxicity", hash(value)), lambda: Toxicity(*value)) if value else None
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,7 +326,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
         scorer = _model(shared.value)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out = [scorer.score(x) for x in batch.column("text").to_pylist()]
+            out = [scorer.score(x) if scorer else 0.5 for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([fold(x, FOLDS) == HELD_OUT for x in ids], pa.bool_()), pa.array(out, pa.float64()), pa.array([int(x >= threshold) for x in out], pa.int32())],
                 ["doc_id", "held_out", "score", "predicted"],
