@@ -1,13 +1,18 @@
 """License scans by diagonal voting.
 
 Every text's words become codes of the templates' vocabulary (0: in no template); the hashes of all rolling k-grams are
-joined in Spark to the template positions that have them. A hit at word p of the text and word t of the template votes
-for the diagonal p - t. Votes are summed by diagonal, neighbouring diagonals are merged (words may be missing or added
-in between), and a merged span is verified: the codes of each hit's words are compared one by one, and the share of
-template words that verified hits cover must reach `min_cover`. Base phrases are looked for word by word beside this.
+joined in Spark to the template positions that have them, and the k codes beside a hash are compared one by one. A hit at
+word p of the text and word t of the template votes for the diagonal p - t. Votes are gathered by diagonal; on one diagonal
+each position of the template stands once, so such a row is no longer than the template however often the text repeats it.
+
+Spans are verified with order and place: neighbouring diagonals of a template (words may be missing or added in between) are
+merged by chains of hits in which both the place in the text and the position in the template rise and every step changes
+the diagonal by `SLACK` at most. The share of template words that the best chain covers must reach `min_cover`. Base phrases
+are looked for word by word beside this.
 
 The template index is a constant of this module (or the caller's own list, whose number of positions is checked), so its
-broadcast does not grow with the data. Rows of the join that hit nothing go no further than the map task.
+broadcast does not grow with the data. A k-gram's row carries its own k codes and nothing else of the text; k-grams with a
+word that is in no template can hit nothing and are not made rows. What comes together for a text is its hits.
 
 Edge cases: null and empty texts have no words; score 0, labels empty. Repeated rows give a row each. Other columns are
 ignored.
@@ -87,67 +92,95 @@ def base_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
     return out
 
 
+def chained(diagonals: dict[int, list[int]], k: int, slack: int) -> int:
+    """Words of a template that the best chain of hits covers; from the positions of the hits on each diagonal."""
+    best, most = {}, 0
+    for position, diagonal in sorted((t, d) for d, own in diagonals.items() for t in own):
+        value = k
+        for d in range(diagonal - slack, diagonal + slack + 1):
+            for (t, covered) in best.get(d, ()):
+                if t < position and t + d < position + diagonal:
+                    value = max(value, covered + min(k, position - t))
+        best.setdefault(diagonal, []).append((position, value))
+        most = max(most, value)
+    return most
+
+
 def verified(hits: list, templates: Templates, slack: int = SLACK, min_cover: float = MIN_COVER) -> dict[str, float]:
-    """Label -> best cover, from (template, diagonal, positions in the template, first place in the text)."""
+    """Label -> best cover, from (template, diagonal, positions in the template)."""
     best: dict[str, float] = {}
-    by_template: dict[int, list] = {}
+    by_template: dict[int, dict[int, list[int]]] = {}
     for hit in hits:
-        by_template.setdefault(hit["template"], []).append(hit)
+        by_template.setdefault(hit["template"], {})[hit["diagonal"]] = hit["positions"]
     for t, own in by_template.items():
-        own.sort(key=lambda x: (x["diagonal"], x["first"]))
-        merged: list[list] = []
-        for x in own:
-            if merged and x["diagonal"] - merged[-1][-1]["diagonal"] <= slack:
-                merged[-1].append(x)
-            else:
-                merged.append([x])
-        for group in merged:
-            covered = {p + i for x in group for p in x["positions"] for i in range(templates.k)}
-            cover = len(covered) / len(templates.codes[t])
-            if cover >= min_cover:
-                best[templates.labels[t]] = max(best.get(templates.labels[t], 0.0), cover)
+        near: dict[int, list[int]] = {}  # a run of diagonals, each within `slack` of the one before
+        for d in [*sorted(own), None]:
+            if near and (d is None or d - last > slack):
+                cover = chained(near, templates.k, slack) / len(templates.codes[t])
+                if cover >= min_cover:
+                    best[templates.labels[t]] = max(best.get(templates.labels[t], 0.0), cover)
+                near = {}
+            if d is not None:
+                near[d], last = own[d], d
     return best
 
 
+_GRAMS = pa.list_(pa.struct([("place", pa.int32()), ("gram", pa.int64()), ("own", pa.list_(pa.int32()))]))
+
+
+def _rolled(codes: list[np.ndarray], known: Templates) -> pa.Array:
+    """Per text the k-grams of template words; before them one of place -1, which stands for the text itself."""
+    k, place, gram, own, ends = known.k, [], [], [], [0]
+    for c in codes:
+        h = known.grams(c)
+        outside = np.concatenate([[0], np.cumsum(c == 0)])
+        at = np.flatnonzero(outside[k : k + len(h)] == outside[: len(h)])
+        place += [np.array([-1]), at]
+        gram += [np.array([0]), h[at]]
+        own.append(np.zeros(k, np.int32))
+        own.append(c[at[:, None] + np.arange(k)].ravel())
+        ends.append(ends[-1] + 1 + len(at))
+    if not codes:
+        return pa.array([], _GRAMS)
+    own = pa.ListArray.from_arrays(pa.array(np.arange(0, k * ends[-1] + 1, k), pa.int32()), pa.array(np.concatenate(own), pa.int32()))
+    rows = pa.StructArray.from_arrays([pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(gram), pa.int64()), own], fields=list(_GRAMS.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """Per document: words, base places and labels, all labels, score (1 for a base phrase, else the best cover)."""
     spark, known = docs.sparkSession, Templates(templates)
-    k = known.k
 
     def words(batches):
         get = known.vocabulary.get
         for batch in batches:
-            n, base, grams, codes = [], [], [], []
+            n, base, codes = [], [], []
             for text in utf8(batch, "text"):
                 own = item_words(text)
                 at = base_places(own, phrases)
-                c = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
                 n.append(len(own))
                 base.append((len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))))
-                grams.append(np.concatenate([[0], known.grams(c)]))  # the first stands for the text itself
-                codes.append(c)
+                codes.append(np.fromiter((get(w, 0) for w in own), np.int32, len(own)))
             b = list(zip(*base, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in b[:3]), pa.array(b[3], pa.string()), pa.array(grams, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32()))],
-                ["doc_id", "uid", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams", "codes"],
+                [batch.column("doc_id"), batch.column("uid"), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in b[:3]), pa.array(b[3], pa.string()), _rolled(codes, known)],
+                ["doc_id", "uid", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"],
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
     schema = "doc_id long, uid long, n_words long, n_base long, first_word long, last_word long, base_labels string"
-    told = source.mapInArrow(words, schema + ", grams array<long>, codes array<int>")
+    told = source.mapInArrow(words, schema + ", grams array<struct<place:int,gram:long,own:array<int>>>")
     index = spark.createDataFrame(known.index(), "gram long, template int, position int, own array<int>")
     index = index.groupBy("gram").agg(F.collect_list(F.struct("template", "position", "own")).alias("at"))
     base = [x.split()[0] for x in schema.split(", ") if not x.startswith("uid")]
-    rows = told.select("uid", F.struct(*base).alias("base"), "codes", F.posexplode("grams").alias("place", "gram"))
-    rows = rows.join(F.broadcast(index), "gram", "left").filter("place = 0 or at is not null")
-    own = F.when(F.col("place") > 0, F.slice("codes", F.greatest("place", F.lit(1)), k))
-    rows = rows.select("uid", "place", F.when(F.col("place") == 0, F.col("base")).alias("base"), F.filter("at", lambda x: x["own"] == own).alias("at"))
-    rows = rows.select("uid", "place", "base", F.explode_outer("at").alias("x"))
-    rows = rows.filter("place = 0 or x is not null").select("uid", "base", (F.col("place") - 1).alias("first"), F.col("x.template").alias("template"), F.col("x.position").alias("position"))
-    votes = rows.groupBy("uid", "template", (F.col("first") - F.col("position")).alias("diagonal")).agg(
-        F.first("base", ignorenulls=True).alias("base"), F.collect_set("position").alias("positions"), F.min("first").alias("first")
-    )
-    hit = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "positions", "first"))
+    rows = told.select("uid", F.struct(*base).alias("base"), F.explode("grams").alias("x")).select("uid", "base", "x.*")
+    rows = rows.join(F.broadcast(index), "gram", "left").filter("place < 0 or at is not null")
+    itself = F.col("place") < 0
+    rows = rows.select("uid", "place", F.when(itself, F.col("base")).alias("base"), F.when(~itself, F.filter("at", lambda x: x["own"] == F.col("own"))).alias("at"))
+    rows = rows.select("uid", "place", "base", F.explode_outer("at").alias("x")).filter("place < 0 or x is not null")
+    rows = rows.select("uid", "base", F.col("x.template").alias("template"), F.col("x.position").alias("position"), (F.col("place") - F.col("x.position")).alias("diagonal"))
+    votes = rows.groupBy("uid", "template", "diagonal").agg(F.first("base", ignorenulls=True).alias("base"), F.collect_set("position").alias("positions"))
+    hit = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "positions"))
     found = votes.groupBy("uid").agg(F.first("base", ignorenulls=True).alias("base"), F.collect_list(hit).alias("hits")).select("base.*", "hits")
 
     def finish(batches):

@@ -44,6 +44,23 @@ def licenses(docs):
     return out
 
 
+def license_method(text, templates, k=5, slack=3, least=0.8):
+    """(labels, score) of the method alone: every chain of hits, straight from the rule."""
+    words, best = ITEM.findall(lower(text)), {}
+    for label, template in templates:
+        own = ITEM.findall(lower(template))
+        if len(own) < k:
+            continue
+        hits = sorted((t, p) for p in range(len(words) - k + 1) for t in range(len(own) - k + 1) if words[p : p + k] == own[t : t + k])
+        value = {}
+        for t, p in hits:
+            value[t, p] = max([k] + [v + min(k, t - u) for (u, q), v in value.items() if u < t and q < p and abs((p - t) - (q - u)) <= slack])
+        cover = max(value.values(), default=0) / len(own)
+        if cover >= least:
+            best[label] = max(best.get(label, 0), cover)
+    return set(best), max(best.values(), default=0.0)
+
+
 def quality(docs):
     out = []
     for doc, text in docs:

@@ -74,6 +74,46 @@ def test_license_method(spark):
         license_scan.Templates([("x", "w " * 300_000)])
 
 
+def test_license_method_by_brute_force(spark, odd_list):
+    """Labels and scores of texts with whole, torn, shuffled and drifting templates."""
+    rnd, docs = random.Random(12), list(odd_list)
+    for i in range(150):
+        words = license_scan.TEMPLATES[rnd.randrange(len(license_scan.TEMPLATES))][1].split()
+        kind = i % 5
+        if kind == 1:  # words added and lost
+            for _ in range(rnd.randrange(1, 4)):
+                at = rnd.randrange(len(words))
+                words[at : at + 1] = rnd.choice([[], [words[at], "so", "to", "say"], ["other"]])
+        elif kind == 2:  # halves exchanged
+            words = words[len(words) // 2 :] + words[: len(words) // 2]
+        elif kind == 3:  # torn: the second half far away
+            words = words[: len(words) // 2] + ["x"] * rnd.randrange(1, 40) + words[len(words) // 2 :]
+        elif kind == 4:
+            words = words * rnd.randrange(2, 5)
+        docs.append((1000 + i, " ".join(["before", *words, "after"])))
+    labels = {}
+    for doc, text in docs:
+        own, score = brute.license_method(text, license_scan.TEMPLATES)
+        (_, _, n, _, _, base), = brute.licenses([(doc, text)])
+        labels.setdefault(doc, []).append((",".join(sorted(own | set(filter(None, base.split(","))))), 1.0 if n else score))
+    got = {}
+    for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["labels"], r["score"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in labels.items()}
+
+
+def test_license_long_text(spark):
+    """Two megabytes of nothing but templates: the text is not carried along with each of its k-grams."""
+    lines = [license_scan.TEMPLATES[k][1] for k in (1, 3, 5)]
+    text = "\n".join(lines[i % 3] for i in range(16_000))
+    assert len(text) > 2_000_000
+    (r,) = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    labels, score = brute.license_method("\n".join(lines), license_scan.TEMPLATES)
+    (_, n_words, n_base, *_), = brute.licenses([(1, text)])
+    assert labels >= {"apache", "gpl", "mit"} and score == 1.0
+    assert set(r["labels"].split(",")) >= labels and r["score"] == score and (r["n_words"], r["n_base"]) == (n_words, n_base)
+
+
 COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
