@@ -57,14 +57,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plainly(docs: DataFrame, work) -> DataFrame:
+    """work(docs) with the columns that are not those of documents under plain names meanwhile: they may be called as the
+    operators' own, or have dots and quotes in their names. `work` keeps the columns and their order."""
+    return work(docs.toDF(*[x if x in DOCUMENT else f"further_{i}" for i, x in enumerate(docs.columns)])).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`. Where it is unset (tests, one machine) a temporary one is made and set."""
+    """The folder of `spark.checkpoint.dir`, else the session's checkpoint folder. Where neither is set, a temporary one is
+    made and set if all runs on one machine; on a cluster that is an error, as executors would not see it."""
+    context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context.getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         found = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='siftyard-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
 

@@ -36,22 +36,46 @@ LETTERS2, LETTERS3 = 0.066, 0.0055
 #: Share of ordinary characters that are hex digits; chance of a change between letter and digit beside each other.
 IN_HEX, CHANGE = 0.3, 0.3
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
+_FOUND = "array<struct<kind:int,start:int,end:int,found:string>>"
+#: Matches whose places are summed together.
+BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(x) with x computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _zip_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of all matches; with `least`, of those whose second group has so many characters."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """(kind, start, end, found) of all matches; with `least`, of those whose second group has so many characters.
+
+    Places are running sums, first inside blocks of BLOCK matches, then over the blocks: an array that grows by one match at
+    a time would be copied as often as there are matches."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if least else 0))
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), values.alias("value"))
+    none = F.array().cast(_FOUND)
 
     def step(s, x):
         start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["found"])
-        own = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
+        own = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("found")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(s["out"], own)).otherwise(s["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, step, lambda s: s["out"])).otherwise(F.array().cast(_SPANS))
+    def block(x):
+        return F.aggregate(x, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(inner):
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(inner, empty, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        moved = lambda x, base: F.transform(x["out"], lambda m: F.struct(m["kind"].alias("kind"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["found"].alias("found")))
+        return F.flatten(F.zip_with(inner, bases, moved))
+
+    def whole(every):  # the last gap has no match after it
+        n = F.size(every) - 1
+        return _let(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: block(F.slice(every, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK)))), shifted)
+
+    return F.when(text.rlike(pattern), _let(parts, whole)).otherwise(none)
 
 
 def _cdf(z: Column) -> Column:
@@ -60,11 +84,6 @@ def _cdf(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * z - 0.070566 * z * z * z))
 
 
-def _let(value: Column, body) -> Column:
-    """body(x) with x computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _tests(run: Column) -> Column:
     """struct<random, ordinary>: the chance of a run's characters under uniform symbols, and under ordinary text."""
     core = F.regexp_replace(run, "=+$", "")
@@ -117,23 +136,47 @@ def _tests(run: Column) -> Column:
     return _let(_let(_let(core, measured), sums), chances)
 
 
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def _random_spans(text: Column, base: Column) -> Column:
     """`random` spans outside the base spans, under false-discovery control over the text's runs."""
-    runs = _zip_spans(text, RUN, 3)
 
     def tested(s):
-        size = s["end"] - s["start"]
-        tests = _tests(F.substr(text, s["start"] + 1, size))
-        return F.struct(s.alias("span"), tests["random"].alias("random"), (tests["ordinary"] * F.size(runs)).alias("p"))
+        return _let(_tests(s["found"]), lambda t: F.struct(s.alias("span"), t["random"].alias("random"), t["ordinary"].alias("p")))
 
     def chosen(x):
-        ps = F.array_sort(F.transform(x, lambda r: r["p"]))
-        limit = F.array_max(F.transform(ps, lambda p, i: F.when(p <= FDR * (i + 1), p).otherwise(-1.0)))
-        ok = F.filter(x, lambda r: (r["p"] <= limit) & (r["random"] >= ALPHA))
-        return F.transform(ok, lambda r: r["span"])
+        corrected = F.array_sort(F.transform(x, lambda r: r["p"] * F.size(x)))
+        limit = F.array_max(F.transform(corrected, lambda p, i: F.when(p <= FDR * (i + 1), p).otherwise(-1.0)))
+        return _let(F.struct(limit.alias("limit"), F.size(x).alias("n")), lambda y: F.filter(x, lambda r: (r["p"] * y["n"] <= y["limit"]) & (r["random"] >= ALPHA)))
+
+    found = _let(F.transform(_zip_spans(text, RUN, 3), tested), chosen)
+    return _outside(F.transform(found, lambda r: r["span"]), base)
+
+
+def _blocks(x: Column) -> Column:
+    """An array (not empty) in blocks of BLOCK."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _outside(runs: Column, base: Column) -> Column:
+    """The runs that are not inside a base span: both in the order of their starts, held against the farthest end of the base
+    spans before."""
+    mark = lambda order: lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"))
+    every = F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(runs, mark(1))))
+
+    def step(s, x):
+        own = F.array(F.struct(F.lit(3).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+        shown = (x["order"] == 1) & (x["end"] > s["top"])
+        return F.struct(F.when(x["order"] == 0, F.greatest(s["top"], x["end"])).otherwise(s["top"]).alias("top"), F.when(shown, F.concat(s["out"], own)).otherwise(s["out"]).alias("out"))
+
+    def swept(blocks):
+        tops = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, s: F.when(s["order"] == 0, F.greatest(a, s["end"])).otherwise(a)))
+        before = F.aggregate(tops, F.array(F.lit(0)), lambda s, e: F.concat(s, F.array(F.greatest(F.element_at(s, -1), e))))
+        return _let(before, lambda b: F.flatten(F.transform(blocks, lambda x, i: F.aggregate(x, F.struct(b[i].alias("top"), F.array().cast(_SPANS).alias("out")), step, lambda s: s["out"]))))
 
-    found = F.when(F.size(runs) > 0, _let(F.transform(runs, tested), chosen)).otherwise(F.array().cast(_SPANS))
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return _let(every, lambda x: F.when(F.size(x) > 0, _let(_blocks(x), swept)).otherwise(F.array().cast(_SPANS)))
 
 
 def _shown(spans: Column) -> Column:
@@ -145,7 +188,7 @@ def _shown(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
     """`docs` with __base and __random: arrays of (kind, start, end). One narrow pass of JVM expressions."""
     text = F.coalesce(F.col(column), F.lit(""))
-    rows = docs.withColumn("__base", F.concat(_zip_spans(text, ASSIGN, 0, MIN_VALUE), _zip_spans(text, ACCESS, 1), _zip_spans(text, HEX, 2)))
+    rows = docs.withColumn("__base", _bare(F.concat(_zip_spans(text, ASSIGN, 0, MIN_VALUE), _zip_spans(text, ACCESS, 1), _zip_spans(text, HEX, 2))))
     return rows.withColumn("__random", F.when(text.rlike(RUN), _random_spans(text, F.col("__base"))).otherwise(F.array().cast(_SPANS)))
 
 
@@ -161,17 +204,28 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span in `text` replaced by `mark` (spans that overlap by one); null texts stay null."""
+    """`docs` with every span in `text` replaced by `mark` (spans that overlap by one) and `__found` (bool); null texts stay
+    null. Blocks of spans are cut from the text first, and the pieces between spans from these."""
     rows = find_secrets(docs)
-    ordered = F.array_sort(F.transform(F.concat("__base", "__random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
+    ordered = F.array_sort(F.transform(F.concat("__base", "__random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    def step(s, x):
-        new = F.concat(s["out"], F.substr(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])), F.when(x["start"] >= s["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), new.alias("out"))
+    def cut(piece, first, spans):
+        def step(s, x):
+            between = F.substr(piece, s["at"] - first + 1, F.greatest(F.lit(0), x["start"] - s["at"]))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], between, F.when(x["start"] >= s["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
+
+        return F.aggregate(spans, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+    def joined(blocks):
+        ends = F.transform(blocks, lambda x: F.array_max(F.transform(x, lambda s: s["end"])))
+        before = F.aggregate(ends, F.array(F.lit(0)), lambda s, e: F.concat(s, F.array(F.greatest(F.element_at(s, -1), e))))
+        return _let(before, lambda b: F.concat(
+            F.array_join(F.transform(blocks, lambda x, i: _let(F.struct(F.substr(text, b[i] + 1, b[i + 1] - b[i]).alias("piece"), b[i].alias("first")), lambda y: cut(y["piece"], y["first"], x))), ""),
+            F.substr(text, F.element_at(b, -1) + 1, F.length(text)),
+        ))
 
-    clean = F.aggregate(ordered, empty, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    clean = _let(ordered, lambda x: _let(_blocks(x), joined))
     found = F.size("__base") + F.size("__random") > 0
     return rows.withColumn("text", F.when(found, clean).otherwise(text)).withColumn("__found", found).drop("__base", "__random")
 

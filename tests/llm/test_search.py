@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import brute
 import pytest
@@ -216,6 +217,38 @@ def test_redaction(spark):
     assert got == {1: "[SECRET] and 😀 [SECRET]!", 2: None, 3: "nothing", 4: "[SECRET] [SECRET]"}
 
 
+def test_secrets_many_in_one_text(spark):
+    """A megabyte of random tokens: more than blocks of matches, in time that grows with the length."""
+    rnd = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def text(n):
+        return " ".join(rnd.choice(["é ", ""]) + ("".join(rnd.choice(letters) for _ in range(32)) if i % 3 else f"token={rnd.getrandbits(64):016x}z") for i in range(n))
+
+    docs = [(i, text(n)) for i, n in enumerate((63, 64, 65, 129, 500))]
+    found = secrets.secret_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows(found.select(*FORMS)) == by_repr(brute.secrets(docs))
+    for r, (_, t) in zip(sorted(found.collect()), docs, strict=True):
+        spans = [x.split(":") for x in r["spans"].split(",")]
+        assert all(len(t[int(a) : int(b)]) == 32 and " " not in t[int(a) : int(b)] for kind, a, b in spans if kind == "random")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for r, (doc, t) in zip(sorted(found.collect()), docs, strict=True):
+        at, out = 0, ""
+        for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in r["spans"].split(",")):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            else:
+                out += t[at : max(at, a)]
+            at = max(at, b)
+        assert clean[doc] == out + t[at:]
+    took = []
+    for n in (3000, 30_000):
+        one, began = spark.createDataFrame([(1, text(n))], "doc_id long, text string"), time.time()
+        assert secrets.secret_spans(one).first()["n_assign"] == -(-n // 3)
+        took.append(time.time() - began)
+    assert took[1] < 14 * max(took[0], 1)
+
+
 def test_secrets_are_native(spark):
     plan = secrets.op9_secrets(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
