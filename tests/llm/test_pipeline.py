@@ -92,3 +92,22 @@ def test_near_stage_keeps_one_of_each_group(spark, odd, odd_list):
     with_words = [x for x in after if brute.BLANK.search(x[1] or "")]
     assert len(with_words) == len({g for size, g in found if size})
     assert {x for x, (size, _) in zip(odd_list, found, strict=True) if not size} <= set(after)
+
+
+CLASHING = (
+    "tid", "group", "copies", "uid", "base", "node", "comp", "row", "order", "x", "lang_pred", "rejected", "__lang_pred", "__rejected", "__contaminated",
+    "__base", "__random", "__found", "a.b", "with `ticks`", "two words", "further_5",
+)
+
+
+@pytest.mark.parametrize("name", ["language", "near_dedup", "benchmark", "secrets"])
+def test_further_columns_pass_unchanged(spark, name):
+    """Columns named as the stages' own, with dots and quotes: kept as they are, and the rows are the same."""
+    stage, docs = dict(corpus_pipeline.STAGES)[name], spark.read.parquet(f"{SF}/documents.parquet")
+    plain = rows(stage(spark, docs, SF))
+    more = docs.withColumns({x: F.concat(F.lit(f"{i} "), F.col("doc_id").cast("string")) for i, x in enumerate(CLASHING)})
+    got = stage(spark, more, SF)
+    assert got.columns == [*COLUMNS, *CLASHING]
+    found = got.collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == plain
+    assert all(tuple(r)[5:] == tuple(f"{i} {r[0]}" for i in range(len(CLASHING))) for r in found)
