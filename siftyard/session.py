@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; where it is unset, a temporary folder, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's `spark.checkpoint.dir`, else the session's checkpoint folder. Where neither is set, a temporary folder
+    is made and set if all runs on one machine; on a cluster, whose executors would not see it, that is an error."""
     context = spark.sparkContext._jsc.sc()
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = context.getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         found = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='siftyard-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if context.getCheckpointDir().isEmpty():
