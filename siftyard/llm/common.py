@@ -82,14 +82,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, tell: bool = False):
     """Writes `df` as Parquet in the shared folder and reads it again: the lineage ends at a table that
-    survives lost executors. The folder is the caller's to empty after the job, as with checkpoints."""
+    survives lost executors. The folder is the caller's to empty after the job, as with checkpoints. With `tell`, also its
+    path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    return (found, path) if tell else found
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    at, fs = _files(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at, fs = _files(spark, path)
+    fs.delete(at, True)
+
+
+def folder_of(table: DataFrame) -> str:
+    """The folder that a DataFrame read from one table has its files in; empty where it has none."""
+    return (table.inputFiles() or [""])[0].rpartition("/")[0]
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:

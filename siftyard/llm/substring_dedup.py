@@ -3,9 +3,11 @@
 A window is `window` consecutive words; each word covered by a window whose word sequence also starts anywhere else is
 removed. Every window has an anchor: the leftmost smallest of the hashes of the shorter word spans inside it. Equal
 windows have equal anchors at the same place, so only anchors, one for some thirteen windows, enter the index. It
-consists of sorted immutable runs, bucketed by hash, that are compacted into one when there are too many. The rows of
-one table are appended in `batches`, compacted, and then all anchors are probed once by merge join. There is no operator
-that probes a new batch against the index of an earlier job. What the index proposes is then verified:
+consists of sorted immutable runs, bucketed by hash, that are compacted into one when there are too many. A batch becomes a
+sorted run, which is merge-joined with the runs of earlier batches before it is put in force beside them; the index lives in
+a folder and can be opened by a later job. The query hands over its table as one batch, to an index without history. Anchors
+that a batch has twice, or that an earlier one has, are only candidates; the windows behind them are then verified, those of
+earlier batches from their texts, which the index refers to:
 
 1. Windows next to each other that share an anchor are a group; 128 bits over the group's words confirm that it stands
    whole elsewhere. Inside a repeated passage that settles up to 26 windows with one row.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftyard.llm.common import distinct_texts, read, shared_dir, text_id, utf8, written
+from siftyard.llm.common import distinct_texts, folder_of, listed, read, removed, shared_dir, text_id, utf8, written
 from siftyard.llm.hashing import Spans, leftmost_minimum, mix, signed, word_hashes
 
 WINDOW, ANCHOR = 35, 10
@@ -39,48 +41,77 @@ MAX_RUNS = 4
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, n): n is 1 for a hash seen once, 2 for more. Runs are tables in the shared
-    folder, bucketed and sorted by hash, so a merge join with them shuffles and sorts only the other side."""
-
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _write(self, run: DataFrame) -> str:
-        name = f"fingerprints_{uuid.uuid4().hex}"
+    """Sorted immutable runs of (hash, n) in one folder, and the batches that they come from. n is how often the texts of a
+    run have the hash. A run is bucketed and sorted by hash, so a merge join with it shuffles and sorts only the other side.
+
+    A manifest, written last and under a new number, lists the runs and batches in force: a job that dies leaves the index as
+    it was, and what it wrote is not listed. `FingerprintIndex(spark, folder)` opens an index of an earlier job. Runs that a
+    compaction has replaced are deleted once the new manifest is there."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, max_runs: int = MAX_RUNS):
+        self.spark, self.max_runs = spark, max_runs
+        self.folder = folder or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.version, self.runs, self.batches, self.tables = 0, [], [], {}
+        whole = [x for x in listed(spark, self.folder) if x.startswith("manifest-") and "_SUCCESS" in listed(spark, f"{self.folder}/{x}")]
+        if whole:
+            self.version = max(int(x.partition("-")[2]) for x in whole)
+            rows = self.spark.read.schema("kind string, name string, buckets int, texts string").parquet(f"{self.folder}/manifest-{self.version}").collect()
+            self.runs = sorted((r["name"], r["buckets"]) for r in rows if r["kind"] == "run")
+            self.batches = sorted((r["name"], r["texts"]) for r in rows if r["kind"] == "batch")
+
+    def write(self, counts: DataFrame) -> tuple[str, int]:
+        """(hash, n) rows as a sorted run that is not yet in force."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"run_{uuid.uuid4().hex}"
         (
-            run.repartition(self.buckets, "hash").write.option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/{name}")
-            .bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").saveAsTable(name)
+            counts.repartition(buckets, "hash").write.option("compression", "zstd").option("path", f"{self.folder}/{name}")
+            .bucketBy(buckets, "hash").sortBy("hash").format("parquet").saveAsTable(name)
         )
-        return name
+        self.tables[name] = True
+        return name, buckets
+
+    def read(self, run: tuple[str, int]) -> DataFrame:
+        """A run by itself, with its buckets and its order."""
+        name, buckets = run
+        if name not in self.tables:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (hash BIGINT, n BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+            self.tables[name] = True
+        return self.spark.table(name)
 
     def merged(self) -> DataFrame | None:
         """hash, n over all runs."""
-        if not self.runs:
-            return None
-        if len(self.runs) == 1:
-            return self.spark.table(self.runs[0])
+        if len(self.runs) < 2:
+            return self.read(self.runs[0]) if self.runs else None
         # The files, not the tables: Spark 4.1 takes a union of bucketed scans for bucketed by the key, yet reads each
         # side unbucketed, and an aggregation over it then misses what the runs have in common.
-        files = [f"{shared_dir(self.spark)}/{name}" for name in self.runs]
-        every = self.spark.read.schema("hash long, n long").parquet(*files)
-        return every.groupBy("hash").agg(F.least(F.sum("n"), F.lit(2)).cast("long").alias("n"))
+        every = self.spark.read.schema("hash long, n long").parquet(*[f"{self.folder}/{name}" for name, _ in self.runs])
+        return every.groupBy("hash").agg(F.sum("n").alias("n"))
 
-    def append(self, batch: DataFrame) -> None:
-        """Adds (hash, n) rows as a run; compacts when there are more than `max_runs`."""
-        run = batch.groupBy("hash").agg(F.least(F.sum("n"), F.lit(2)).cast("long").alias("n"))
-        self.runs.append(self._write(run))
-        if len(self.runs) > self.max_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        if len(self.runs) > 1:
-            self.runs = [self._write(self.merged())]
-
-    def probe(self, batch: DataFrame, least: int = 1) -> DataFrame:
-        """Rows of `batch` whose hash the index has seen `least` times or more."""
-        known = self.merged()
-        return batch.limit(0) if known is None else batch.join(known.filter(F.col("n") >= least).select("hash").hint("merge"), "hash", "left_semi")
+    def seen(self, run: tuple[str, int]) -> DataFrame | None:
+        """The hashes of a new run that the runs in force have too: a merge join with each of them."""
+        found = [self.read(run).select("hash").join(self.read(x).select("hash").hint("merge"), "hash", "left_semi") for x in self.runs]
+        if not found:
+            return None
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out if len(found) == 1 else written(out, "seen").distinct()
+
+    def add(self, run: tuple[str, int], batch: tuple[str, str] | None = None) -> None:
+        """Puts a run in force, with the folders of its batch (anchors, texts); compacts beyond `max_runs`."""
+        runs, old = [*self.runs, run], []
+        if len(runs) > self.max_runs:
+            self.runs, old = runs, runs
+            runs = [self.write(self.merged())]
+        self.runs = runs
+        if batch:
+            self.batches = [*self.batches, batch]
+        self.version += 1
+        rows = [("run", n, k, None) for n, k in self.runs] + [("batch", a, None, t) for a, t in self.batches]
+        self.spark.createDataFrame(rows, "kind string, name string, buckets int, texts string").coalesce(1).write.parquet(f"{self.folder}/manifest-{self.version}")
+        for name, _ in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, f"{self.folder}/{name}")
 
 
 class Windows:
@@ -262,26 +293,56 @@ def _same(keys: list[np.ndarray], places: list[int]) -> np.ndarray:
     return np.isin(one, one[np.array(places, np.int64)])
 
 
-def deduplicate_texts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
-    """tid, n_words, n_removed, kept_sha256, kept_text: one row per different text of `docs`."""
+def _exploded(anchors: DataFrame) -> DataFrame:
+    return anchors.select("tid", F.explode("hashes").alias("hash"))
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tid").agg(F.collect_list("hash").alias("flagged"))
+
+
+def deduplicate_texts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, index: FingerprintIndex | None = None) -> DataFrame:
+    """tid, n_words, n_removed, kept_sha256, kept_text: one row per different text of `docs`.
+
+    With an `index`, `docs` is a batch: windows count as repeated if they stand elsewhere in the batch or anywhere in an
+    earlier one, and the batch is then part of the index. What earlier batches were given is not changed. One index is for
+    one `window` and `anchor`."""
     texts = distinct_texts(docs, "substring_texts")
-    found = written(_anchors(texts, window, anchor), "anchors")
-    index = FingerprintIndex(docs.sparkSession)
-    for k in range(batches):
-        part = found.filter(F.pmod(F.xxhash64("tid"), F.lit(batches)) == k)
-        index.append(part.select(F.explode(F.arrays_zip("hashes", "ns")).alias("x")).select(F.col("x.hashes").alias("hash"), F.col("x.ns").cast("long").alias("n")))
-    index.compact()
-
-    anchors = found.select("tid", F.explode("hashes").alias("hash"))
-    flagged = lambda rows: rows.groupBy("tid").agg(F.collect_list("hash").alias("flagged"))
-    seen = texts.join(flagged(index.probe(anchors, 2)), "tid")
-    groups = written(_candidates(seen, True, window, anchor), "groups")
+    found, path = written(_anchors(texts, window, anchor), "anchors", True)
+    log = FingerprintIndex(docs.sparkSession) if index is None else index
+    counts = found.select(F.explode(F.arrays_zip("hashes", "ns")).alias("x")).groupBy(F.col("x.hashes").alias("hash")).agg(F.sum(F.col("x.ns").cast("long")).alias("n"))
+    run = log.write(counts)
+    repeated, known = log.read(run).filter("n >= 2").select("hash"), log.seen(run)
+    earlier = None
+    if known is not None:
+        known = written(known, "known")
+        repeated = repeated.unionByName(known).distinct()
+        spark = docs.sparkSession
+        old = spark.read.schema(found.schema).parquet(*[a for a, _ in log.batches])
+        flagged = _flagged(_exploded(old).join(known, "hash", "left_semi").distinct())
+        stored = spark.read.schema(texts.schema).parquet(*[t for _, t in log.batches]).groupBy("tid").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
+        earlier = stored.join(flagged, "tid").select("tid", "text", F.least("copies", F.lit(2)).alias("copies"), "flagged")
+
+    def candidates(rows, again, whole, name):
+        own = _candidates(texts.join(rows, "tid"), whole, window, anchor)
+        if earlier is not None:
+            own = own.unionByName(_candidates(again, whole, window, anchor))
+        return written(own, name)
+
+    groups = candidates(_flagged(_exploded(found).join(repeated.hint("merge"), "hash", "left_semi")), earlier, True, "groups")
     group_places, alone = _confirmed(groups)
     again = groups.select("tid", F.explode(F.array_distinct("anchors")).alias("hash")).join(alone, "hash", "left_semi")
-    singles = written(_candidates(texts.join(flagged(again), "tid"), False, window, anchor), "windows")
+    again = _flagged(again.distinct() if earlier is not None else again)
+    old_again = earlier.drop("flagged").join(again, "tid") if earlier is not None else None
+    singles = candidates(again, old_again, False, "windows")
     window_places, _ = _confirmed(singles)
     every = texts.join(group_places.withColumnRenamed("places", "groups"), "tid", "left").join(window_places.withColumnRenamed("places", "windows"), "tid", "left")
-    return _reassemble(every, window, anchor)
+    if index is None:
+        return _reassemble(every, window, anchor)
+    out = written(_reassemble(every, window, anchor), "deduplicated")
+    folder = folder_of(texts)
+    index.add(run, (path, folder) if folder else None)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -10,6 +10,7 @@ from odd import prose
 from pyspark.sql import functions as F
 
 from siftyard.llm import near_dedup, substring_dedup
+from siftyard.llm.common import listed
 from siftyard.llm.hashing import Spans, leftmost_minimum
 
 
@@ -126,20 +127,55 @@ def test_substring_sql(spark):
 
 
 def test_fingerprint_index(spark):
-    index = substring_dedup.FingerprintIndex(spark, max_runs=2)
-    rnd = random.Random(2)
+    """Runs are merged, compacted, found again from the folder, and deleted when replaced."""
+    index, rnd = substring_dedup.FingerprintIndex(spark, max_runs=2), random.Random(2)
     counts: dict[int, int] = {}
-    for _ in range(4):
-        part = [(rnd.randrange(50), 1) for _ in range(30)]
-        for h, n in part:
+    for k in range(5):
+        part: dict[int, int] = {}
+        for _ in range(30):
+            h = rnd.randrange(60)
+            part[h] = part.get(h, 0) + 1
+        run = index.write(spark.createDataFrame(list(part.items()), "hash long, n long"))
+        seen = index.seen(run)
+        assert {r["hash"] for r in seen.collect()} == part.keys() & counts.keys() if k else seen is None
+        for h, n in part.items():
             counts[h] = counts.get(h, 0) + n
-        index.append(spark.createDataFrame(part, "hash long, n long"))
+        index.add(run)
         assert len(index.runs) <= 2
-        assert {r["hash"]: r["n"] for r in index.merged().collect()} == {h: min(2, n) for h, n in counts.items()}
-    probe = spark.range(60).withColumnRenamed("id", "hash")
-    assert {r["hash"] for r in index.probe(probe).collect()} == set(counts)
-    assert {r["hash"] for r in index.probe(probe, 2).collect()} == {h for h, n in counts.items() if n > 1}
-    assert substring_dedup.FingerprintIndex(spark).probe(probe).count() == 0
+        for name, _ in index.runs:  # another job knows the folder only
+            spark.sql(f"DROP TABLE {name}")
+        index = substring_dedup.FingerprintIndex(spark, index.folder, max_runs=2)
+        assert {r["hash"]: r["n"] for r in index.merged().collect()} == counts
+        assert sum(x.startswith("run_") for x in listed(spark, index.folder)) == len(index.runs)
+    assert substring_dedup.FingerprintIndex(spark).merged() is None
+
+
+def test_substring_batches(spark):
+    """Three batches, each by an index opened anew: judged against themselves and all earlier ones, the last as in one run."""
+    rnd = random.Random(13)
+    passages = [prose(rnd, n) for n in (36, 50, 90)]
+    docs = []
+    for i in range(60):
+        words = [prose(rnd, rnd.randrange(0, 60)) for _ in range(3)]
+        words.insert(rnd.randrange(3), rnd.choice([*passages, prose(rnd, 40)]))
+        docs.append((i, " ".join(words)))
+    docs += [(60 + i, docs[k][1]) for i, k in enumerate((3, 25, 25, 55))] + [(70, None), (71, ""), (72, docs[1][1] + " " + passages[0])]
+    rnd.shuffle(docs)
+    folder, before = substring_dedup.FingerprintIndex(spark).folder, []
+    for k in range(3):
+        batch = docs[k::3]
+        index = substring_dedup.FingerprintIndex(spark, folder, max_runs=2)
+        assert len(index.batches) == k
+        frame = spark.createDataFrame(batch, "doc_id long, text string")
+        found = substring_dedup.deduplicate_texts(frame, index=index)
+        every = brute.repeats([*before, *batch])
+        expected = {x[1:] for x in every[len(before) :]}
+        assert {(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()} == expected
+        for name, _ in index.runs:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        before += batch
+    whole = {r["n_words"]: 0 for r in substring_dedup.deduplicate_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert whole.keys() == {x[1] for x in brute.repeats(docs)}
 
 
 def test_spans_and_minimum():
