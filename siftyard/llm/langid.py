@@ -8,8 +8,11 @@ The least margins are fitted on texts that the dictionaries do not hold, each ha
 text with its own language's dictionary shows right margins, without it those of a language not learned. The least
 margin is what 99 % of the latter stay below, but no more than 99 % of the former reach.
 
-Fitting reads a bounded sample: up to `SAMPLE_DOCS` documents of each language, chosen by a hash of the row, and of
-each an excerpt of at most `EXCERPT` characters. All else (language counts, prediction) covers all rows and whole texts.
+Fitting reads a bounded sample: up to `SAMPLE_DOCS` documents of each language, chosen by a hash of the row, and of each up
+to `STRETCHES` stretches of `STRETCH` characters, those of smallest hash, from all over the text; they are cut on the
+executors. The first `DICT_STRETCHES` of each are the dictionary, all of which is used; all of them together are the texts of
+the least margins. All else (language counts, prediction) covers all rows and whole texts, and texts of every length are
+compressed with the same settings.
 
 Edge cases: null text, empty text and text without a letter give `und` with score 0, marked as rejected. Ties go to
 the language with more training rows, then by name. With no labelled row all is `und`. A null doc_id is in fold 0
@@ -18,7 +21,9 @@ when its crc32 of the empty text is 0 modulo the number of folds, as any id. Rep
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 
 import pyarrow as pa
 import regex
@@ -29,10 +34,9 @@ from pyspark.sql import functions as F
 from siftyard.llm.common import fold, fold_column, read, resident
 
 FOLDS = 5
-SAMPLE_DOCS, EXCERPT, DICT_BYTES = 160, 2000, 112 << 10
-BLOCK_BYTES, LEVEL = 4096, 6
-#: Texts of up to SHORT_BYTES are compressed at a level that finds matches of three bytes.
-SHORT_BYTES, SHORT_LEVEL = 512, 19
+SAMPLE_DOCS, STRETCH, STRETCHES, DICT_STRETCHES = 160, 240, 8, 3
+#: Matches of three bytes are found, by a tree search of 2**SEARCH_LOG steps: short texts need them.
+BLOCK_BYTES, MIN_MATCH, SEARCH_LOG = 4096, 3, 3
 #: Opens every block and ends every dictionary: a block then always compresses, and small gains of short texts show.
 MARK = bytes(range(1, 32)) * 2
 MIN_MARGIN = 0.001
@@ -50,7 +54,13 @@ class Model(list):
     margins: tuple[tuple[int, float], ...] = ()
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT) -> Model:
+def stretches(text: str, most: int = STRETCHES) -> list[str]:
+    """Up to `most` stretches of a text, those of smallest hash first."""
+    found = dict.fromkeys(text[i : i + STRETCH] for i in range(0, len(text), STRETCH))
+    return heapq.nsmallest(most, found, key=lambda x: (zlib.crc32(x.encode()), x))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """(language, dictionary content), the most frequent language first. Two passes: counts, then the sample."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != 0))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -59,23 +69,28 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT)
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, math.ceil(scale * 2 * sample_docs / n)))])
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
-    sample = (
-        rows.filter(key < share[F.col("lang")]).select("lang", key.alias("key"), F.substring("text", 1, excerpt).alias("text")).collect()
-    )
+
+    def cut(batches):
+        for batch in batches:
+            found = [stretches(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(found, pa.list_(pa.string()))], ["lang", "key", "parts"])
+
+    chosen = rows.filter(key < share[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), key.alias("key"), "text")
+    sample = chosen.mapInArrow(cut, "lang string, key long, parts array<string>").distinct().collect()
     out, texts = Model(), {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        own = sorted({(r["key"], r["text"]) for r in sample if r["lang"] == lang})[:sample_docs]
-        texts[lang] = [x for _, x in own]
+        own = sorted((r["key"], tuple(r["parts"])) for r in sample if r["lang"] == lang)[:sample_docs]
+        texts[lang] = list(dict.fromkeys(x for _, x in own))
         out.append((lang, content_of(texts[lang])))
     out.margins = calibrate(texts)
     return out
 
 
-def content_of(texts: list[str]) -> bytes:
-    return "\n".join(texts).lower().encode()[-DICT_BYTES:]
+def content_of(texts: list[tuple[str, ...]]) -> bytes:
+    return "\n".join(x for parts in texts for x in parts[:DICT_STRETCHES]).lower().encode()
 
 
-def calibrate(texts: dict[str, list[str]]) -> tuple[tuple[int, float], ...]:
+def calibrate(texts: dict[str, list[tuple[str, ...]]]) -> tuple[tuple[int, float], ...]:
     """(length, least margin) from the sampled texts of each language. With fewer than three languages, a text without
     its own has no second one, and there are none."""
     if len(texts) < 3:
@@ -85,7 +100,7 @@ def calibrate(texts: dict[str, list[str]]) -> tuple[tuple[int, float], ...]:
     for half in (0, 1):
         languages = Languages([(lang, content_of(own[half::2])) for lang, own in texts.items()])
         for lang, own in texts.items():
-            for text in own[1 - half :: 2][: each // 2]:
+            for text in map("".join, own[1 - half :: 2][: each // 2]):
                 for n in LENGTHS:
                     data = text.lower().encode()[:n]
                     if len(data) < n or lang not in languages.names or len(languages.names) < 3 or not _LETTER.search(text):
@@ -103,11 +118,12 @@ def calibrate(texts: dict[str, list[str]]) -> tuple[tuple[int, float], ...]:
     return tuple(out)
 
 
-def compressor(content: bytes, level: int, source_size: int):
+def compressor(content: bytes):
     """The compress function of a raw-content dictionary, without the frame's optional fields."""
     params = zstandard.ZstdCompressionParameters.from_level(
-        level, dict_size=len(content) + len(MARK), source_size=source_size + len(MARK), write_content_size=False, write_checksum=False, write_dict_id=False
-    )
+        12, dict_size=len(content) + len(MARK), source_size=BLOCK_BYTES + len(MARK), strategy=zstandard.STRATEGY_BTLAZY2, min_match=MIN_MATCH,
+        search_log=SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
     own = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress
@@ -125,12 +141,11 @@ class Languages:
         self.margins = getattr(model, "margins", ())
         model = [(lang, content) for lang, content in model if len(content) >= 8]
         self.names = [lang for lang, _ in model]
-        self.long = [compressor(content, LEVEL, BLOCK_BYTES) for _, content in model]
-        self.short = [compressor(content, SHORT_LEVEL, SHORT_BYTES) for _, content in model]
+        self.compress = [compressor(content) for _, content in model]
 
     def sizes(self, data: bytes) -> list[int]:
         blocks = [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(f(b)) for b in blocks) for f in (self.short if len(data) <= SHORT_BYTES else self.long)]
+        return [sum(len(f(b)) for b in blocks) for f in self.compress]
 
     def least(self, text: str | None) -> float:
         """The least margin of texts as long as this one; none (0) for texts shorter than all that were fitted."""

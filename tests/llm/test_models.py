@@ -263,6 +263,38 @@ def test_language_rejects_by_margin(spark):
         assert all(r["lang_pred"] != "und" for r in found) and least <= sum(r["rejected"] for r in found) / len(found) <= most
 
 
+def test_language_by_brute_force(spark, small, odd, odd_list):
+    """Sizes and choice straight from the rule, text by text, with compressors made anew for every block."""
+    import zstandard
+
+    mark = bytes(range(1, 32)) * 2
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = langid.fit(docs)
+    assert len(model) == 4 and all(40_000 < len(content) <= 160 * 3 * 2 * 241 for _, content in model)
+
+    def size(content, data):
+        params = zstandard.ZstdCompressionParameters.from_level(
+            12, dict_size=len(content) + 62, source_size=4096 + 62, strategy=6, min_match=3, search_log=3, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        own = zstandard.ZstdCompressionDict(content + mark, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress(mark + data[i : i + 4096])) for i in range(0, len(data), 4096))
+
+    texts = [x for x in [*small[:40], *odd_list] if x[0] is not None]
+    expected = []
+    for doc, text in texts:
+        data = (text or "").lower().encode()
+        if not any(c.isalpha() for c in text or ""):
+            expected.append((doc, "und", 0.0, True))
+            continue
+        sizes = [size(content, data) for _, content in model]
+        second = sorted(sizes)[1]
+        margin = (second - min(sizes)) / second
+        least = max([0.001, *[m for n, m in model.margins if n <= len(data)][-1:]])
+        expected.append((doc, model[sizes.index(min(sizes))][0], margin, margin < least))
+    got = langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).select("doc_id", "lang_pred", "margin", "rejected")
+    assert rows(got) == sorted(expected, key=repr)
+
+
 def test_language_edges(spark, odd, crowded, empty):
     model = [("de", b"der die das und ist nicht ein eine mit auf " * 9), ("en", b"the of and is not a with on this that " * 9)]
     for own in (model, [], model[:1], langid.fit(odd)):
