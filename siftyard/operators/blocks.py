@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftyard.operators.dedup import chained_fingerprints
+
 #: Savings (bytes) beyond which a full block may grow to twice its size.
 SAVINGS = 0x3FFFF
 
@@ -104,6 +106,20 @@ def bwt_decompress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else bz2.decompress(bytes(x)))
 
 
+def data_blocks(rows: DataFrame, index: str, order: str, key: str, payload: str, date: Column) -> DataFrame:
+    """idx, header, counter, flags (0: raw), raw_size, block_size and fingerprints of data blocks from rows that are packed
+    (`index`). Keys are hex and count 32 bytes each, the header 66. A block fits a row: its packing has bounded it."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(payload).alias("t"))))
+    whole = rows.groupBy(F.col(index).cast("long").alias("idx")).agg(F.count(F.lit(1)).alias("counter"), parts.alias("p"))
+    text = lambda x: F.array_join(F.transform("p", lambda r: r[x]), "")
+    own = whole.withColumn("header", fingerprint_text(date, F.lit("d"), F.col("idx"))).select(
+        "idx", "header", "counter", F.lit(0).cast("long").alias("flags"), F.octet_length(text("t")).cast("long").alias("raw_size"),
+        F.sha2(F.col("header").cast("binary"), 256).alias("header_fingerprint"), F.sha2(F.concat("header", text("k"), text("t")).cast("binary"), 256).alias("block_fingerprint"),
+    )
+    chain = chained_fingerprints(rows, index, order, key).select(F.col("block").alias("idx"), F.col("fingerprint").alias("keys_fingerprint"))
+    return own.withColumn("block_size", F.lit(66) + F.col("counter") * 32 + F.col("raw_size")).join(chain, "idx")
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """Headers, keys and data of blocks as Parquet, one folder for each type."""
     blocks.write.partitionBy("type").mode("overwrite").parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,21 @@ def fragment_key(payload: Column) -> Column:
     return F.sha2(payload.cast("binary"), 256)
 
 
+def sized_key(payload: Column, flag: Column) -> Column:
+    """A key that tells its fragment's size: 236 bits of hash, a flag, 19 bits of size. 64 hex digits."""
+    tail = flag.cast("long") * (1 << 19) + F.octet_length(payload) % (1 << 19)
+    return F.concat(F.substring(fragment_key(payload), 1, 59), F.lpad(F.lower(F.hex(tail)), 5, "0"))
+
+
+def size_of(key: Column) -> Column:
+    """The size in a sized key."""
+    return F.conv(F.substring(key, 60, 5), 16, 10).cast("long") % (1 << 19)
+
+
+def flag_of(key: Column) -> Column:
+    return F.conv(F.substring(key, 60, 5), 16, 10).cast("long") >= (1 << 19)
+
+
 def prefix(key: Column, bits: int = 64) -> Column:
     """The leading bits of a hex key, a multiple of four; few bits force collisions in tests."""
     return F.substring(key, 1, bits // 4)
@@ -72,11 +90,49 @@ def drop_files(manifest: DataFrame, bad: DataFrame, file: str) -> DataFrame:
     return manifest.join(bad.select(file), file, "left_anti")
 
 
-def counts(fragments: DataFrame, key: str, selector: str) -> DataFrame:
-    """total, distinct keys (of all, and of each selector), distinct prefixes of 64 bits."""
-    return fragments.groupBy(selector).agg(F.count(F.lit(1)).alias("n_fragments"), F.countDistinct(key).alias("n_keys"))
-
-
-def running_fingerprint(keys: Column, before: Column) -> Column:
-    """A chain of SHA-256 over an array of keys, from the fingerprint of what came before."""
-    return F.aggregate(keys, before, lambda a, k: F.sha2(F.concat(a, k).cast("binary"), 256))
+def counts(fragments: DataFrame, key: str, selector: str, bits: int = 64) -> DataFrame:
+    """Fragments, different keys, different prefixes, and keys beyond the first of their prefix (collisions): of each
+    selector, and of all (`all`)."""
+    once = fragments.groupBy(F.col(selector).cast("string").alias(selector), key).agg(F.count(F.lit(1)).alias("n"))
+    every = once.groupBy(key).agg(F.sum("n").alias("n")).select(F.lit("all").alias(selector), key, "n")
+
+    def told(rows):
+        by = rows.groupBy(selector, prefix(F.col(key), bits).alias("p")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+        return by.groupBy(selector).agg(F.sum("n").alias("n_fragments"), F.sum("keys").alias("n_keys"), F.count(F.lit(1)).alias("n_prefixes"), F.sum(F.col("keys") - 1).alias("n_collisions"))
+
+    return told(once).unionByName(told(every))
+
+
+def repair_collisions(fragments: DataFrame, reread: DataFrame, key: str, seq: str, payload: str, bits: int = 64) -> DataFrame:
+    """`fragments` (seq, key) with `id`. The first key of every prefix has its id by order of appearance. Another key with
+    that prefix is a collision: its first fragment that can be read again (`reread`: seq, payload) with the same key gives it
+    an id after all others; fragments of it before that, or of keys never read again, have id 0, and their file is to drop."""
+    firsts = fragments.groupBy(key).agg(F.min(seq).alias("first"))
+    known = firsts.groupBy(prefix(F.col(key), bits).alias("p")).agg(F.min_by(key, "first").alias("known_key"), F.min("first").alias("first"))
+    known = dense_ids(known, ["first"], "id", 1).drop("first")
+    rows = fragments.select(seq, key, prefix(F.col(key), bits).alias("p")).join(known, "p").drop("p")
+    other = rows.filter(F.col(key) != F.col("known_key")).select(seq, key)
+    again = other.join(reread.select(seq, fragment_key(F.col(payload)).alias("again")), seq).filter(F.col(key) == F.col("again"))
+    start = (known.agg(F.max("id")).first()[0] or 0) + 1
+    new = dense_ids(again.groupBy(key).agg(F.min(seq).alias("from_seq")), ["from_seq"], "new_id", start)
+    own = F.when(F.col(key) == F.col("known_key"), F.col("id")).when(F.col(seq) >= F.col("from_seq"), F.col("new_id")).otherwise(F.lit(0))
+    return rows.join(new, key, "left").select(seq, key, own.cast("long").alias("id"))
+
+
+def chained_fingerprints(keys: DataFrame, block: str, order: str, key: str) -> DataFrame:
+    """block, n_keys, fingerprint: of all keys up to and with this block's. Each block's keys, in order, are digested by
+    themselves, in parallel; the digests, one row a block, are then chained in the order of the blocks: SHA-256 over the
+    fingerprint before and the digest, as hex."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))))
+    own = keys.groupBy(F.col(block).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n_keys"), F.sha2(F.array_join(F.transform(parts, lambda x: x["k"]), "").cast("binary"), 256).alias("digest"))
+
+    def chain(batches):
+        before = ""
+        for batch in batches:
+            out = []
+            for digest in batch.column("digest").to_pylist():
+                before = hashlib.sha256((before + digest).encode()).hexdigest()
+                out.append(before)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n_keys"), pa.array(out, pa.string())], ["block", "n_keys", "fingerprint"])
+
+    return own.repartition(1).sortWithinPartitions("block").mapInArrow(chain, "block long, n_keys long, fingerprint string")

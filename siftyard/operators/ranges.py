@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Range rows up to which a nested loop over a broadcast table is used.
@@ -34,16 +34,29 @@ def remap(rows: DataFrame, ranges: DataFrame, key: str, name: str = "new_id", wi
     return remap_small(rows, ranges, key, name) if small else remap_buckets(rows, ranges, key, width, name)
 
 
-def overlapping(ranges: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """Ranges that begin before the one before them ends, or whose target does not lie before the source: none in a valid
-    table. Neighbours are looked for inside each family."""
-    before = Window.partitionBy("family").orderBy("src_begin")
-    clash = F.col("src_begin") < F.lag(F.col("src_begin") + F.col("size")).over(before)
-    bad_target = F.col("tgt_begin") + F.col("size") > F.col("src_begin")
-    return ranges.withColumn("__clash", F.coalesce(clash, F.lit(False))).filter(F.col("__clash") | bad_target).drop("__clash")
-
-
-def unused(ranges: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Ranges that no id of `rows` falls in."""
-    held = (F.col(key) >= F.col("src_begin")) & (F.col(key) < F.col("src_begin") + F.col("size"))
-    return ranges.join(rows.select(key).distinct(), held, "left_anti")
+def _reached(ranges: DataFrame, width: int) -> DataFrame:
+    """A row for every bucket of `width` ids that a range reaches into."""
+    last = F.col("src_begin") + F.greatest(F.col("size"), F.lit(1)) - 1
+    return ranges.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("src_begin") / width), F.floor(last / width))))
+
+
+def overlapping(ranges: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """Ranges (src_begin, tgt_begin, size, family) that begin before an earlier one of their family ends, that stand twice, or
+    whose target does not lie before the source: none in a valid table. Ranges meet in buckets of ids, by an equi-join."""
+    key = ("src_begin", "tgt_begin", "size")
+    once = ranges.groupBy(*key, "family").agg((F.count(F.lit(1)) > 1).alias("__twice"))
+    before = _reached(once.drop("__twice"), width).select(F.struct(*key).alias("__a"), "family", "__bucket")
+    own = _reached(once.drop("__twice"), width).select(F.struct(*key).alias("__b"), "family", "__bucket")
+    met = before.join(own, ["family", "__bucket"]).filter((F.col("__a") < F.col("__b")) & (F.col("__b.src_begin") < F.col("__a.src_begin") + F.col("__a.size")))
+    clash = met.select("__b.*", "family").distinct().withColumn("__clash", F.lit(True))
+    bad = F.coalesce("__clash", F.lit(False)) | F.col("__twice") | (F.col("tgt_begin") + F.col("size") > F.col("src_begin"))
+    return once.join(clash, [*key, "family"], "left").filter(bad).drop("__clash", "__twice")
+
+
+def unused(ranges: DataFrame, rows: DataFrame, key: str, width: int = 1 << 12) -> DataFrame:
+    """Ranges that no id of `rows` falls in. Ranges and ids meet in buckets, by an equi-join."""
+    r = _reached(ranges, width)
+    ids = rows.select(F.col(key).alias("__id")).distinct().withColumn("__b", F.floor(F.col("__id") / width))
+    held = (F.col("__bucket") == F.col("__b")) & (F.col("__id") >= F.col("src_begin")) & (F.col("__id") < F.col("src_begin") + F.col("size"))
+    used = r.join(ids, held, "left_semi").select(ranges.columns).distinct()
+    return ranges.join(used, [ranges[x].eqNullSafe(used[x]) for x in ranges.columns], "left_anti")

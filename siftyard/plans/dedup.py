@@ -35,14 +35,47 @@ def cdc_chunks(spark, sf_dir):
     return whole.select("file_index", "bytes", F.sha2(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), 256).alias("sha"))
 
 
+def _vectors(spark):
+    """Inputs whose fragments are known: name and bytes."""
+    noise, x = bytearray(), 12345
+    for _ in range(400_000):
+        x = (1103515245 * x + 12345) % (1 << 31)
+        noise.append(x >> 16 & 255)
+    given = {"empty": b"", "one": b"A", "zeros": bytes(100_000), "fox": b"the quick brown fox jumps over the lazy dog. " * 20_000, "squares": bytes((i * i + 7 * i) % 251 for i in range(300_000)), "noise": bytes(noise)}
+    return list(enumerate(given.items()))
+
+
+def cdc_scores(spark, sf_dir):
+    """Offsets, sizes and scores of the fragments of known inputs, with the default parameters."""
+    given = _vectors(spark)
+    names = spark.createDataFrame([(i, n) for i, (n, _) in given], "file_index long, name string")
+    found = chunking.fragments(spark.createDataFrame([(i, d) for i, (_, d) in given], "file_index long, payload binary"))
+    last = found.groupBy("file_index").agg(F.max("seq").alias("last"))
+    shown = found.join(last, "file_index").filter("seq < 4 or seq = last").join(F.broadcast(names), "file_index")
+    return shown.select("name", "file_offset", F.col("size").cast("long").alias("size"), F.col("score").cast("long").alias("score"))
+
+
 def fragment_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", dedup.fragment_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("size"))
+    """Keys that carry size and flag (here: an even id), and both read back from the key."""
+    key = dedup.sized_key(F.col("text"), F.col("doc_id") % 2 == 0)
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), dedup.size_of(key).alias("size"), dedup.flag_of(key).alias("flag"))
+
+
+def _labelled(spark, sf_dir, rows):
+    """Of documents those that have a label: what is known already, or can be read again."""
+    return rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 def dedup_fragments(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    known = docs.filter("doc_id % 10 = 3").select("key").distinct()
-    return dedup.mark_new(docs.filter("doc_id % 10 <> 3"), "key", "doc_id", known).select("doc_id", "key", "is_new")
+    known = _labelled(spark, sf_dir, docs).select("key").distinct()
+    return dedup.mark_new(docs, "key", "doc_id", known).select("doc_id", "key", "is_new")
+
+
+def collision_repair(spark, sf_dir):
+    """Prefixes of 12 bits, so that keys collide; only labelled documents can be read again."""
+    again = _labelled(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup.repair_collisions(_docs(spark, sf_dir), again, "key", "doc_id", "text", 12)
 
 
 def block_keys(spark, sf_dir):
@@ -56,13 +89,13 @@ def selector_routing(spark, sf_dir):
 
 
 def dedup_counts(spark, sf_dir):
-    return dedup.counts(_docs(spark, sf_dir).withColumn("selector", F.col("doc_id") % 2), "key", "selector")
+    return dedup.counts(_docs(spark, sf_dir).withColumn("selector", F.col("doc_id") % 2), "key", "selector", 12)
 
 
 def known_keys_load(spark, sf_dir):
-    """The key table is written, read back and checked for uniqueness."""
-    path = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
-    block_keys(spark, sf_dir).write.parquet(path)
+    """The key table is written, read back and checked for uniqueness; the keys of the first block stand in it twice."""
+    path, keys = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}", block_keys(spark, sf_dir)
+    keys.unionByName(keys.filter("block = 0")).write.parquet(path)
     loaded = spark.read.parquet(path)
     return loaded.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("key").alias("n_keys"), F.max("id").alias("last_id"))
 
@@ -73,14 +106,15 @@ def prefix_collisions(spark, sf_dir):
 
 def two_stage_key_match(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    known = docs.filter("doc_id % 10 = 3").select("key").distinct()
-    return dedup.two_stage_match(docs.filter("doc_id % 10 <> 3").select("doc_id", "key"), known, "key", 12)
+    known = _labelled(spark, sf_dir, docs).select("key").distinct()
+    return dedup.two_stage_match(docs.select("doc_id", "key"), known, "key", 12)
 
 
 def merge_join_verify(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     keys = dedup.flush_ids(docs, "key", "block", "doc_id")
-    return dedup.merge_verify(dedup.fragment_ids(docs, keys, "key").select("doc_id", "key", "id"), keys).select("doc_id", "id", "intact")
+    stored = keys.withColumn("key", F.when(F.col("id") % 5 == 0, F.reverse("key")).otherwise(F.col("key")))  # damage to be found
+    return dedup.merge_verify(dedup.fragment_ids(docs, keys, "key").select("doc_id", "key", "id"), stored).select("doc_id", "id", "intact")
 
 
 def file_manifest(spark, sf_dir):
@@ -94,9 +128,8 @@ def drop_bad_files(spark, sf_dir):
 
 
 def keys_fingerprint(spark, sf_dir):
-    keys = dedup.flush_ids(_docs(spark, sf_dir), "key", "block", "doc_id")
-    own = keys.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "key"))), lambda x: x["key"]).alias("keys"))
-    return own.select("block", dedup.running_fingerprint(F.col("keys"), F.lit("")).alias("fingerprint"))
+    """Of each block over all keys up to its own."""
+    return dedup.chained_fingerprints(dedup.flush_ids(_docs(spark, sf_dir), "key", "block", "doc_id"), "block", "id", "key")
 
 
 def block_packing(spark, sf_dir):
@@ -112,13 +145,15 @@ def block_zstd(spark, sf_dir):
     """Blocks packed by the compressor's own savings, and unpacked again: nothing may be lost."""
     rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 250).cast("long").alias("part"), "doc_id", "text")
     packed = blocks.pack_zstd(rows, "part", "doc_id", "text", 262144)
-    back = packed.select("group", "n", F.octet_length(blocks.unpack_zstd("data")).cast("long").alias("bytes"))
-    return back.groupBy("group").agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"))
+    frame = (F.hex(F.substring("data", 1, 4)) == "28B52FFD") & (F.octet_length("data") < F.col("raw_size"))
+    back = packed.select("group", "n", F.octet_length(blocks.unpack_zstd("data")).cast("long").alias("bytes"), frame.alias("frame"))
+    return back.groupBy("group").agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"), F.min("frame").alias("frames"))
 
 
 def bwt_codec(spark, sf_dir):
-    back = blocks.bwt_decompress(blocks.bwt_compress(F.col("text").cast("binary")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(back, 256).alias("sha"))
+    packed = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"), blocks.bwt_compress(F.col("text").cast("binary")).alias("data"))
+    smaller = (F.hex(F.substring("data", 1, 3)) == "425A68") & ((F.col("n") < 1000) | (F.octet_length("data") < F.col("n")))
+    return packed.select("doc_id", F.sha2(blocks.bwt_decompress("data"), 256).alias("sha"), smaller.alias("packed"))
 
 
 def block_headers(spark, sf_dir):
@@ -127,6 +162,14 @@ def block_headers(spark, sf_dir):
     return own.select(index.alias("idx"), blocks.fingerprint_text(date, F.lit("d"), index).alias("fingerprint"), "n_docs", (F.col("bytes") + 66).alias("block_size"))
 
 
+def data_blocks(spark, sf_dir):
+    """Whole data blocks of packed documents: header, number of keys, flags, raw size, and fingerprints of the keys so far, of
+    the header, and of the block (header, keys and data)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", dedup.fragment_key(F.col("text")).alias("key"))
+    rows = block_packing(spark, sf_dir).join(docs, "doc_id").withColumn("idx", F.col("part") * 1000 + F.col("block"))
+    return blocks.data_blocks(rows, "idx", "doc_id", "key", "text", F.lit(20240229010203))
+
+
 def block_fingerprint_text(spark, sf_dir):
     kind = F.when(F.col("o_orderkey") % 3 == 0, "d").when(F.col("o_orderkey") % 3 == 1, "i").otherwise("h")
     date = F.date_format("o_orderdate", "yyyyMMddHHmmss").cast("long")
@@ -158,7 +201,7 @@ def streaming_dedup(spark, sf_dir):
     return keys.read().select("key", "id")
 
 
-QUERIES = {f.__name__: f for f in (dedup_documents, cdc_chunks, fragment_keys, dedup_fragments, block_keys, selector_routing, dedup_counts, known_keys_load, prefix_collisions, two_stage_key_match, merge_join_verify, file_manifest, drop_bad_files, keys_fingerprint, block_packing, block_sizes, block_zstd, bwt_codec, block_headers, block_fingerprint_text, fixed_width_scan, file_listing, file_catalog, streaming_dedup)}
+QUERIES = {f.__name__: f for f in (dedup_documents, cdc_chunks, cdc_scores, collision_repair, data_blocks, fragment_keys, dedup_fragments, block_keys, selector_routing, dedup_counts, known_keys_load, prefix_collisions, two_stage_key_match, merge_join_verify, file_manifest, drop_bad_files, keys_fingerprint, block_packing, block_sizes, block_zstd, bwt_codec, block_headers, block_fingerprint_text, fixed_width_scan, file_listing, file_catalog, streaming_dedup)}
 
 _D = f"d AS (SELECT doc_id, doc_id // {BLOCK_DOCS} AS block, sha256(text) AS key FROM documents)"
 _IDS = "i AS (SELECT key, min(block) AS block, min(doc_id) AS first, row_number() OVER (ORDER BY min(block), min(doc_id)) AS id FROM d GROUP BY key)"
@@ -168,25 +211,38 @@ p AS (SELECT part, doc_id, size, r, CAST(0 AS BIGINT) AS block, size AS filled F
                        CASE WHEN p.filled > 0 AND p.filled + s.size > 65536 THEN s.size ELSE p.filled + s.size END FROM p JOIN s ON s.part = p.part AND s.r = p.r + 1)"""
 _MANIFEST = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) > 0"
 _SIZES = "z AS (SELECT part, block, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY 1, 2)"
+_CHAIN = """b AS (SELECT {block} AS block, count(*) AS n_keys, sha256(string_agg({key}, '' ORDER BY {order})) AS digest, row_number() OVER (ORDER BY {block}) AS r FROM {source} GROUP BY {block}),
+c AS (SELECT block, n_keys, r, sha256(digest) AS fingerprint FROM b WHERE r = 1 UNION ALL SELECT b.block, b.n_keys, b.r, sha256(c.fingerprint || b.digest) FROM c JOIN b ON b.r = c.r + 1)"""
 ORACLES = {
+    # fixed values: what the chunking rule gives for these inputs (FIXTURES.md, section 4), by hand-checked restatement
+    "cdc_scores": """SELECT name, CAST(o AS BIGINT) AS file_offset, CAST(s AS BIGINT) AS size, CAST(p AS BIGINT) AS score FROM (VALUES ('one', 0, 1, 100), ('zeros', 0, 45439, 100), ('zeros', 45439, 45439, 100), ('zeros', 90878, 9122, 100),
+('fox', 0, 524287, 57), ('fox', 524287, 375713, 57), ('squares', 0, 300000, 0), ('noise', 0, 68222, 0), ('noise', 68222, 123235, 0), ('noise', 191457, 75866, 0), ('noise', 267323, 11198, 0), ('noise', 369366, 30634, 0)) t(name, o, s, p)""",
+    "collision_repair": f"""WITH {_D}, k AS (SELECT key, min(doc_id) AS first FROM d GROUP BY key), p AS (SELECT substr(key, 1, 3) AS p, arg_min(key, first) AS known_key, min(first) AS first FROM k GROUP BY 1),
+i AS (SELECT p, known_key, row_number() OVER (ORDER BY first) AS id FROM p), x AS (SELECT d.doc_id, d.key, known_key, id FROM d JOIN i ON i.p = substr(d.key, 1, 3)),
+n AS (SELECT key, min(doc_id) AS r FROM x WHERE key <> known_key AND doc_id IN (SELECT doc_id FROM labels) GROUP BY key), m AS (SELECT key, r, row_number() OVER (ORDER BY r) + (SELECT count(*) FROM i) AS new_id FROM n)
+SELECT x.doc_id, x.key, CAST(CASE WHEN x.key = known_key THEN id WHEN x.doc_id >= r THEN new_id ELSE 0 END AS BIGINT) AS id FROM x LEFT JOIN m ON m.key = x.key""",
+    "data_blocks": f"""WITH {_PACK}, w AS (SELECT p.part * 1000 + p.block AS idx, p.doc_id, sha256(d.text) AS key, d.text FROM p JOIN documents d ON d.doc_id = p.doc_id), {_CHAIN.format(block='idx', source='w', key='key', order='doc_id')},
+z AS (SELECT idx, '##20240229010203d' || lpad(CAST(idx AS VARCHAR), 10, '0') || '##' AS header, string_agg(key, '' ORDER BY doc_id) AS keys, string_agg(text, '' ORDER BY doc_id) AS data FROM w GROUP BY idx)
+SELECT z.idx, header, CAST(n_keys AS BIGINT) AS counter, CAST(0 AS BIGINT) AS flags, CAST(octet_length(encode(data)) AS BIGINT) AS raw_size, CAST(66 + 32 * n_keys + octet_length(encode(data)) AS BIGINT) AS block_size,
+       fingerprint AS keys_fingerprint, sha256(header) AS header_fingerprint, sha256(header || keys || data) AS block_fingerprint FROM z JOIN c ON c.block = z.idx""",
     "dedup_documents": "WITH k AS (SELECT sha256(text) AS key, min(doc_id) AS first_doc FROM documents GROUP BY 1), i AS (SELECT key, first_doc, row_number() OVER (ORDER BY first_doc) AS fragment_id FROM k) SELECT d.doc_id, i.fragment_id, d.doc_id = i.first_doc AS is_new FROM documents d JOIN i ON i.key = sha256(d.text)",
     "cdc_chunks": "SELECT page_id AS file_index, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha FROM pages",
-    "fragment_keys": "SELECT doc_id, sha256(text) AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents",
-    "dedup_fragments": f"WITH {_D} SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1 AND key NOT IN (SELECT key FROM d WHERE doc_id % 10 = 3) AS is_new FROM d WHERE doc_id % 10 <> 3",
+    "fragment_keys": "SELECT doc_id, substr(sha256(text), 1, 59) || printf('%05x', (CASE WHEN doc_id % 2 = 0 THEN 524288 ELSE 0 END) + octet_length(encode(text)) % 524288) AS key, CAST(octet_length(encode(text)) % 524288 AS BIGINT) AS size, doc_id % 2 = 0 AS flag FROM documents",
+    "dedup_fragments": f"WITH {_D}, k AS (SELECT DISTINCT key FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1 AND key NOT IN (SELECT key FROM k) AS is_new FROM d",
     "block_keys": f"WITH {_D}, {_IDS} SELECT key, block, first, id FROM i",
     "selector_routing": f"WITH {_D.replace(f'doc_id // {BLOCK_DOCS} AS block', f'(doc_id // {BLOCK_DOCS}) * 2 + doc_id % 2 AS block')}, f AS (SELECT key, min(block) AS block FROM d GROUP BY key), g AS (SELECT key, block, min(doc_id) AS first FROM d JOIN f USING (key, block) GROUP BY 1, 2) SELECT key, block, first, row_number() OVER (ORDER BY block, first) AS id, CASE WHEN block % 2 = 0 THEN 'L' ELSE 'H' END AS selector FROM g",
-    "dedup_counts": f"WITH {_D} SELECT doc_id % 2 AS selector, count(*) AS n_fragments, count(DISTINCT key) AS n_keys FROM d GROUP BY 1",
-    "known_keys_load": f"WITH {_D} SELECT count(DISTINCT key) AS n_rows, count(DISTINCT key) AS n_keys, count(DISTINCT key) AS last_id FROM d",
+    "dedup_counts": f"WITH {_D}, s AS (SELECT CAST(doc_id % 2 AS VARCHAR) AS selector, key FROM d UNION ALL SELECT 'all', key FROM d) SELECT selector, count(*) AS n_fragments, count(DISTINCT key) AS n_keys, count(DISTINCT substr(key, 1, 3)) AS n_prefixes, count(DISTINCT key) - count(DISTINCT substr(key, 1, 3)) AS n_collisions FROM s GROUP BY 1",
+    "known_keys_load": f"WITH {_D}, {_IDS} SELECT count(*) + count(*) FILTER (WHERE block = 0) AS n_rows, count(*) AS n_keys, max(id) AS last_id FROM i",
     "prefix_collisions": f"WITH {_D} SELECT substr(key, 1, 3) AS prefix, count(DISTINCT key) AS n_keys FROM d GROUP BY 1 HAVING count(DISTINCT key) > 1",
-    "two_stage_key_match": f"WITH {_D}, k AS (SELECT DISTINCT key FROM d WHERE doc_id % 10 = 3) SELECT d.doc_id, d.key, k.key AS known_key, d.key = k.key AS verified FROM d JOIN k ON substr(d.key, 1, 3) = substr(k.key, 1, 3) WHERE d.doc_id % 10 <> 3",
-    "merge_join_verify": f"WITH {_D}, {_IDS} SELECT d.doc_id, i.id, true AS intact FROM d JOIN i USING (key)",
+    "two_stage_key_match": f"WITH {_D}, k AS (SELECT DISTINCT key FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT d.doc_id, d.key, k.key AS known_key, d.key = k.key AS verified FROM d JOIN k ON substr(d.key, 1, 3) = substr(k.key, 1, 3)",
+    "merge_join_verify": f"WITH {_D}, {_IDS} SELECT d.doc_id, i.id, i.id % 5 <> 0 OR key = reverse(key) AS intact FROM d JOIN i USING (key)",
     "file_manifest": _MANIFEST,
     "drop_bad_files": f"SELECT * FROM ({_MANIFEST}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
-    "keys_fingerprint": f"WITH {_D}, {_IDS}, l AS (SELECT block, list(key ORDER BY id) AS ks FROM i GROUP BY block) SELECT block, list_reduce(list_prepend('', ks), lambda a, k: sha256(a || k)) AS fingerprint FROM l",
+    "keys_fingerprint": f"WITH RECURSIVE {_D}, {_IDS}, {_CHAIN.format(block='block', source='i', key='key', order='id')} SELECT block, n_keys, fingerprint FROM c",
     "block_packing": f"WITH {_PACK} SELECT part, doc_id, size, block FROM p",
     "block_sizes": f"WITH {_PACK}, {_SIZES} SELECT part, block, n_docs, bytes FROM z",
-    "block_zstd": 'SELECT doc_id // 250 AS "group", count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1',
-    "bwt_codec": "SELECT doc_id, sha256(text) AS sha FROM documents",
+    "block_zstd": 'SELECT doc_id // 250 AS "group", count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, true AS frames FROM documents GROUP BY 1',
+    "bwt_codec": "SELECT doc_id, sha256(text) AS sha, true AS packed FROM documents",
     "block_headers": f"WITH {_PACK}, {_SIZES} SELECT part * 1000 + block AS idx, '##20240229010203d' || lpad(CAST(part * 1000 + block AS VARCHAR), 10, '0') || '##' AS fingerprint, n_docs, bytes + 66 AS block_size FROM z",
     "block_fingerprint_text": "WITH o AS (SELECT CAST(strftime(o_orderdate, '%Y%m%d%H%M%S') AS BIGINT) AS date, CASE o_orderkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'i' ELSE 'h' END AS kind, o_orderkey AS idx FROM orders) SELECT '##' || lpad(CAST(date AS VARCHAR), 14, '0') || kind || lpad(CAST(idx AS VARCHAR), 10, '0') || '##' AS text, date, kind, idx FROM o",
     "fixed_width_scan": "WITH b AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), r AS (SELECT item_id, h, unnest(generate_series(0, (length(h) - 1) // 96)) AS i FROM b WHERE length(h) > 0) SELECT item_id, CAST(i AS INTEGER) AS idx, substr(h, 1 + i * 96, 96) AS record FROM r",

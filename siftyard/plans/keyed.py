@@ -49,9 +49,9 @@ def left_lookup_default(spark, sf_dir):
 
 
 def composite_remap(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    new = rows.filter("l_partkey % 7 = 0").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max(F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("new_id"))
-    return keyed.lookup_default(rows, new, ["l_orderkey", "l_partkey", "l_suppkey"], "new_id", F.col("l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    new = rows.filter("l_returnflag = 'R'").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max(F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("new_id"))
+    return keyed.lookup_default(rows.drop("l_returnflag"), new, ["l_orderkey", "l_partkey", "l_suppkey"], "new_id", F.col("l_partkey"))
 
 
 def _dictionary(spark, sf_dir):
@@ -67,8 +67,10 @@ def dict_encode(spark, sf_dir):
 
 
 def dict_lookup(spark, sf_dir):
-    source = ids.dictionary(table(spark, sf_dir, "documents").filter("doc_id < 5").select("source", "doc_id"), "source", "doc_id")
-    return ids.encode(table(spark, sf_dir, "documents").select("doc_id", "source"), source, "source")
+    """Languages and sources looked up in the dictionary of languages: the latter are not in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    known = ids.dictionary(docs, "lang", "doc_id")
+    return ids.encode(docs.select("doc_id", F.explode(F.array("lang", "source")).alias("name")), known, "name")
 
 
 def dict_decode(spark, sf_dir):
@@ -95,8 +97,9 @@ def set_intersect(spark, sf_dir):
 
 
 def set_except(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
-    return a.exceptAll(b.distinct())
+    """Orders without a line."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).exceptAll(lines.distinct())
 
 
 QUERIES = {f.__name__: f for f in (first_wins, upsert_last_wins, update_existing, delete_keys, hash_lookup_join, semi_join_known, anti_join_new, left_lookup_default, composite_remap, dict_scan, dict_encode, dict_lookup, dict_decode, distinct_keys, set_union, set_intersect, set_except)}
@@ -111,15 +114,15 @@ ORACLES = {
     "semi_join_known": "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "anti_join_new": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "left_lookup_default": "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey",
-    "composite_remap": """WITH n AS (SELECT l_orderkey, l_partkey, l_suppkey, max(l_partkey * 10 + l_linenumber) AS new_id FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY 1, 2, 3)
+    "composite_remap": """WITH n AS (SELECT l_orderkey, l_partkey, l_suppkey, max(l_partkey * 10 + l_linenumber) AS new_id FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3)
 SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, coalesce(n.new_id, l.l_partkey) AS new_id FROM lineitem l LEFT JOIN n USING (l_orderkey, l_partkey, l_suppkey)""",
     "dict_scan": f"{_DICT} SELECT id, value FROM d",
     "dict_encode": f"{_DICT} SELECT event_id, id FROM events JOIN d ON d.value = event_type",
-    "dict_lookup": """WITH d AS (SELECT source AS value, row_number() OVER (ORDER BY min(doc_id)) - 1 AS id FROM documents WHERE doc_id < 5 GROUP BY source)
-SELECT doc_id, source, id FROM documents LEFT JOIN d ON value = source""",
+    "dict_lookup": """WITH d AS (SELECT lang AS value, row_number() OVER (ORDER BY min(doc_id), lang) - 1 AS id FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+n AS (SELECT doc_id, unnest([lang, source]) AS name FROM documents) SELECT doc_id, name, id FROM n LEFT JOIN d ON value = name""",
     "dict_decode": f"{_DICT} SELECT event_id, event_id % 7 AS key, d.value FROM events LEFT JOIN d ON id = event_id % 7",
     "distinct_keys": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "set_union": "SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders",
     "set_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_except": "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
 }

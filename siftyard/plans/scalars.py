@@ -20,9 +20,15 @@ def range_remap(spark, sf_dir):
 
 
 def range_validation(spark, sf_dir):
-    found = _ranges(spark, sf_dir)
-    bad = ranges.overlapping(found).agg(F.count(F.lit(1)).alias("n_bad"))
-    return bad.crossJoin(found.agg(F.count(F.lit(1)).alias("n_ranges")))
+    """A table with planted faults: every 400 ids a range that begins inside the one before, one whose target is not before
+    the source; and the ranges that no order line falls in."""
+    good = _ranges(spark, sf_dir)
+    faulty = good.filter("src_begin % 400 = 0").select(*[(F.col("src_begin") + 5).alias("src_begin"), "tgt_begin", "size", "family"])
+    faulty = faulty.unionByName(good.filter("src_begin % 400 = 20").select((F.col("src_begin") + 10).alias("src_begin"), (F.col("src_begin") + 1).alias("tgt_begin"), "size", "family"))
+    found = good.unionByName(faulty)
+    bad = ranges.overlapping(found).withColumn("fault", F.lit("bad"))
+    idle = ranges.unused(found, table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("fault", F.lit("unused"))
+    return bad.unionByName(idle).select("fault", "src_begin", "tgt_begin", F.col("size").cast("long").alias("size"), "family")
 
 
 def external_sort(spark, sf_dir):
@@ -158,7 +164,10 @@ def _hash_sql(c: int, folded: bool) -> str:
 _RANGES = "r AS (SELECT b AS src_begin, b // 2 AS tgt_begin FROM (SELECT DISTINCT (o_orderkey // 20) * 20 AS b FROM orders) WHERE b >= 20)"
 ORACLES = {
     "range_remap": f"WITH {_RANGES} SELECT l_orderkey, l_linenumber, l_partkey, coalesce(tgt_begin + l_orderkey - src_begin, l_orderkey) AS new_id FROM lineitem LEFT JOIN r ON l_orderkey >= src_begin AND l_orderkey < src_begin + 10",
-    "range_validation": f"WITH {_RANGES} SELECT CAST(0 AS BIGINT) AS n_bad, count(*) AS n_ranges FROM r",
+    "range_validation": f"""WITH {_RANGES}, g AS (SELECT src_begin, tgt_begin, CAST(10 AS BIGINT) AS size, CASE WHEN src_begin % 40 = 0 THEN 'L' ELSE 'H' END AS family FROM r),
+f AS (SELECT * FROM g UNION ALL SELECT src_begin + 5, tgt_begin, size, family FROM g WHERE src_begin % 400 = 0 UNION ALL SELECT src_begin + 10, src_begin + 1, size, family FROM g WHERE src_begin % 400 = 20)
+SELECT 'bad' AS fault, * FROM f b WHERE tgt_begin + size > src_begin OR EXISTS (SELECT 1 FROM f a WHERE a.family = b.family AND a.src_begin < b.src_begin AND b.src_begin < a.src_begin + a.size)
+UNION ALL SELECT 'unused', * FROM f b WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey >= src_begin AND l_orderkey < src_begin + size)""",
     "external_sort": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem",
     "chunk_sort": "SELECT o_orderkey % 16 AS chunk, o_custkey, o_orderkey FROM orders",
     "remap_then_sort": "SELECT o_orderkey, CASE WHEN o_custkey >= 100 THEN o_custkey - 100 ELSE o_custkey END AS o_custkey FROM orders",
