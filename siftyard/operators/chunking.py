@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SIZE, SIZE_BITS, AVERAGE = 4096, 19, 6
+#: Bytes that are looked at first for a fragment's end; most end within them.
+FIRST_LOOK = 1 << 16
 _HIT, _MISS, _MASK = 314159265, 271828182, 0xFFFFFFFF
 
 
@@ -56,15 +58,19 @@ def cut(data: bytes, min_size: int = MIN_SIZE, size_bits: int = SIZE_BITS, avera
     most, limit = check(min_size, size_bits, average)
     raw, start = np.frombuffer(data, np.uint8), 0
     while start < len(raw):
-        part = raw[start : start + most]
-        hit = hits(part)
-        size, h = len(part), 0
-        factors = np.where(hit[min_size:], _HIT, _MISS).tolist()
-        for i, (c, m) in enumerate(zip((part[min_size:].astype(np.int64) + 1).tolist(), factors, strict=True), min_size + 1):
-            h = (h + c) * m & _MASK
-            if h < limit:
-                size = i
-                break
+        whole = raw[start : start + most]
+        ahead, done, h, size = min(len(whole), FIRST_LOOK), min_size, 0, 0
+        while not size:  # the look ahead doubles until the fragment ends in it
+            part, hit = whole[:ahead], hits(whole[:ahead])
+            factors = np.where(hit[done:], _HIT, _MISS).tolist()
+            for i, (c, m) in enumerate(zip((part[done:].astype(np.int64) + 1).tolist(), factors, strict=True), done + 1):
+                h = (h + c) * m & _MASK
+                if h < limit:
+                    size = i
+                    break
+            if ahead == len(whole):
+                size = size or ahead
+            done, ahead = max(done, ahead), min(len(whole), 2 * ahead)
         yield start, size, int(hit[:size].sum()) * 100 // size
         start += size
 

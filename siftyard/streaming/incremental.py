@@ -19,13 +19,10 @@ class KeyTable:
     def read(self, before: int | None = None) -> DataFrame:
         """batch, key, id of the batches earlier than `before`."""
         schema = "key string, first long, id long, batch long"
-        found = self.spark.read.schema(schema).option("basePath", self.path)
-        try:
-            rows = found.parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def add(self, batch: DataFrame, batch_id: int, text: str, seq: str) -> None:

@@ -1,6 +1,7 @@
 """Keyed state, dictionaries, ranges, deduplication, blocks, sources and streams on small tables, edge cases included."""
 
 import base64
+import hashlib
 import os
 import random
 
@@ -9,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftyard.operators import blocks, dedup, ids, keyed, ranges, sorting
+from siftyard.operators import blocks, chunking, dedup, ids, keyed, ranges, sorting
 from siftyard.sources import files
 from siftyard.streaming import incremental
 
@@ -155,3 +156,31 @@ def test_stream_with_watermark(spark, tmp_path):
     query = incremental.distinct_stream(source, "k", "ts").writeStream.format("memory").queryName("marked").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("marked").count() == 5
+
+
+def test_fragments_of_a_stream(spark, tmp_path):
+    """Chunking on a stream gives what it gives on the table."""
+    rnd = random.Random(3)
+    for part in range(3):
+        files_ = [(part * 10 + i, rnd.randbytes(rnd.randrange(0, 200_000))) for i in range(3)]
+        spark.createDataFrame(files_, "file_index long, payload binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("file_index long, payload binary").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    chunking.fragments(source).drop("payload").writeStream.format("memory").queryName("fragments").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("fragments")) == rows(chunking.fragments(spark.read.parquet(f"{tmp_path}/in")).drop("payload")) and spark.table("fragments").count() > 9
+
+
+def test_collision_repair(spark):
+    """The first key of a prefix keeps its id; others get one by the first fragment that reads the same again, or 0."""
+    texts = ["a", "b", "a", "c", "b", "b", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").withColumn("key", dedup.fragment_key(F.col("text")))
+    again = spark.createDataFrame([(1, "changed"), (4, "b"), (6, "other")], "seq long, text string")
+    got = dedup.repair_collisions(df.select("seq", "key"), again, "key", "seq", "text", 0).collect()
+    assert {r["seq"]: r["id"] for r in got} == {0: 1, 1: 0, 2: 1, 3: 0, 4: 2, 5: 2, 6: 0}
+
+
+def test_fingerprints_cover_earlier_blocks(spark):
+    keys = spark.createDataFrame([(0, 2, "b"), (0, 1, "a"), (2, 4, "d"), (1, 3, "c")], "block long, id long, key string")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    first = digest(digest("ab"))
+    second = digest(first + digest("c"))
+    assert rows(dedup.chained_fingerprints(keys, "block", "id", "key")) == [(0, 2, first), (1, 1, second), (2, 1, digest(second + digest("d")))]
