@@ -38,6 +38,8 @@ COLLIDE = 0.0007
 MARGIN = 5
 #: Shingles of the sets that a block of a star holds.
 BLOCK_SHINGLES = 150_000
+#: Parts that the rows of a hub are dealt in where they meet what is known of it.
+SALTS = 16
 _U = np.uint64
 _PROBES = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=_U)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -168,7 +170,10 @@ def _between(pairs: DataFrame, first: DataFrame, nodes: DataFrame, texts: DataFr
     main = share.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("comps"))
     blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / BLOCK_SHINGLES)).cast("int")
     main = main.filter("comps > 1").select("hub", "main", blocks(F.col("all") - F.col("most")).alias("nx"), blocks(F.col("most")).alias("ny"))
-    placed = star.join(main, "hub").withColumn("is_x", F.col("comp") != F.col("main"))
+    # a hub's rows are dealt by hub and salt, so that a large star does not come together in one task
+    main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    star = star.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    placed = star.join(main, ["hub", "salt"]).drop("salt").withColumn("is_x", F.col("comp") != F.col("main"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_x"), F.col("nx")).otherwise(F.col("ny"))).cast("int"))
     wanted = placed.select("node", "tid").distinct()
     full = written(sets(texts.join(wanted, "tid"), n), "sets")
