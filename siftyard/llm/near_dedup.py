@@ -173,7 +173,7 @@ def _between(pairs: DataFrame, first: DataFrame, nodes: DataFrame, texts: DataFr
     # a hub's rows are dealt by hub and salt, so that a large star does not come together in one task
     main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     star = star.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    placed = star.join(main, ["hub", "salt"]).drop("salt").withColumn("is_x", F.col("comp") != F.col("main"))
+    placed = star.join(main.hint("merge"), ["hub", "salt"]).drop("salt").withColumn("is_x", F.col("comp") != F.col("main"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_x"), F.col("nx")).otherwise(F.col("ny"))).cast("int"))
     wanted = placed.select("node", "tid").distinct()
     full = written(sets(texts.join(wanted, "tid"), n), "sets")
