@@ -289,7 +289,8 @@ def test_language_by_brute_force(spark, small, odd, odd_list):
         sizes = [size(content, data) for _, content in model]
         second = sorted(sizes)[1]
         margin = (second - min(sizes)) / second
-        least = max([0.001, *[m for n, m in model.margins if n <= len(data)][-1:]])
+        shorter, longer = ([m for n, m in model.margins if (n <= len(data)) == k] for k in (True, False))
+        least = max(0.001, min([shorter[-1], *longer[:1]]) if shorter else 0)
         expected.append((doc, model[sizes.index(min(sizes))][0], margin, margin < least))
     got = langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).select("doc_id", "lang_pred", "margin", "rejected")
     assert rows(got) == sorted(expected, key=repr)
