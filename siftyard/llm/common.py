@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -36,6 +37,8 @@ def resident(key, build):
     stage to stage, and the tables of one operator should not fill the memory of the next."""
     if key not in _resident:
         _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _resident[key] = build()
     return _resident[key]
 
