@@ -5,22 +5,26 @@ is compressed with the toxic and with the ordinary dictionary; what the toxic on
 are text of the labelled documents: both begin with the same ordinary text (`base`), so that common matter costs the same
 in either, and end in passages of their own class, equally far from the end.
 
+Ordinary text has toxic wording too, by chance, and a dictionary either has a stretch or has not. So the openings of words
+(stretches of as many bytes as one of `GRAMS`, with the blank before them) are counted by texts, and the ones that toxic texts
+have `TIMES` as often or more, `LEAN` standard deviations beyond chance, lean to the toxic side: the words they touch are left
+out of the ordinary dictionary.
+
 Which passages: each half of the texts is compressed with dictionaries of the other half. Windows of toxic text on which
-the toxic dictionary saves enough are kept (wording that other toxic texts have too); enough is where ordinary text has
-`CHANCE` times as many such windows or fewer. Ordinary windows on which it saves `LEAST_TELLING` bytes are kept for the
-ordinary dictionary, so that it stops doing so. That is done `ROUNDS` times, the first time with all text of the class.
-Beyond `DICT_BYTES` those of smallest hash are taken.
+the toxic dictionary saves enough, and that have a leaning opening, are kept (wording that other toxic texts have too); enough is
+where ordinary text has `CHANCE` times as many such windows or fewer. Ordinary windows without one on which it saves
+`LEAST_TELLING` bytes are kept for the ordinary dictionary, so that it stops doing so. That is done `ROUNDS` times, the first
+time with all text of the class. Beyond `DICT_BYTES` those of smallest hash are taken.
 
 Calibration: each half is compressed with the last dictionaries of the other half. For each of two thresholds a text has a
-number of different windows that save so much, and an expected number by the rate of ordinary texts; the root of the
-Poisson deviance between them says how far it is beyond chance, whatever the length. A logistic curve over both turns that
-into a probability, each class counted for as many labelled documents as it has. The pair of thresholds is the one of least
-log loss. All of it sees rows outside the held-out fold only; near copies count as one text.
+number of different windows that save so much and do not overlap (a word is one finding, not three), and an expected number by the
+rate of ordinary texts; the root of the Poisson deviance between them says how far it is beyond chance, whatever the length. A
+logistic curve over both turns that into a probability, each class counted for as many labelled documents as it has. The pair of
+thresholds is the one of least log loss. All of it sees rows outside the held-out fold only; near copies count as one text.
 
 A window counts only if it has a stretch of as many bytes as one of `GRAMS` that the toxic dictionary has and the ordinary one
-has not (the short one finds words, the long one wording across words); others are not compressed. Savings without one come from how common pieces happen to lie in the dictionaries; on learning rows they
-were as frequent in ordinary text as in toxic text, and more frequent than all others. So a phrase is learnt if such a stretch
-of it is rare in ordinary text; one whose every stretch is common there is not seen.
+has not (the short ones find words, the long one wording across words); others are not compressed. Wording of which toxic texts
+have no opening `TIMES` as often as ordinary ones is not seen, nor wording in fewer than `LEAST_TEXTS` texts of a half.
 
 Fitting reads a bounded sample: up to `SAMPLE_DOCS` labelled documents of each class (twice as many ordinary ones, half of
 them for the base), chosen by a hash of the id, and of each up to `SAMPLE_STRETCHES` different stretches of `STRETCH_WORDS`
@@ -51,14 +55,16 @@ from siftyard.llm.hashing import mix
 FOLDS, HELD_OUT = 3, 1
 #: Labelled documents of each class that are fitted on, and different stretches of STRETCH_WORDS words of each.
 SAMPLE_DOCS, SAMPLE_STRETCHES, STRETCH_WORDS = 1000, 32, 12
-WINDOW_WORDS, ROUNDS, GRAMS = 3, 2, (5, 12)
+WINDOW_WORDS, ROUNDS, GRAMS = 3, 2, (5, 7, 8, 12)
+#: How much more often toxic texts have a stretch that ordinary dictionaries leave out; standard deviations beyond chance.
+TIMES, LEAN, LEAST_TEXTS = 4, 3, 4
 #: Bounds of the saving from which windows go into the dictionaries, and the chance windows among them.
 LEAST_TELLING, MOST_TELLING, CHANCE = 3, 12, 0.1
 BASE_BYTES, DICT_BYTES = 4 << 20, 16 << 10
 #: Opens every window and ends every dictionary: without it short windows do not compress, and zstandard stores them as they are.
 MARK = bytes(range(1, 32)) * 3
-PAIRS = ((2, 4), (3, 5), (4, 6), (5, 7), (6, 8))
-THRESHOLDS = tuple(range(2, 9))
+PAIRS = ((2, 3), (2, 4), (3, 4), (3, 5), (4, 6))
+THRESHOLDS = tuple(range(2, 7))
 #: Windows beyond chance: what is added to the expected number of windows that save.
 LEAST_EXPECTED = 0.02
 #: Texts are copies if this share of their sketches of SKETCH numbers agrees.
@@ -80,7 +86,17 @@ def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the windows start and end in what `spoken` gives."""
     blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     k = min(WINDOW_WORDS, max(0, len(blanks) - 1))
-    return (blanks[: len(blanks) - k], blanks[k:] + 1) if k else (blanks[:0], blanks[:0])
+    start, end = (blanks[: len(blanks) - k], blanks[k:] + 1) if k else (blanks[:0], blanks[:0])
+    if b"\n" in data:
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) == 10)])
+        start, end = (x[ends[end] == ends[start]] for x in (start, end))
+    return start, end
+
+
+def joined(parts: list[bytes]) -> list[bytes]:
+    """The same windows in few pieces: those of parts that have a whole one in one piece, with an end of line between."""
+    whole = [x for x in parts if x.count(b" ") > WINDOW_WORDS]
+    return [*([b"\n".join(whole)] if whole else []), *(x for x in parts if x.count(b" ") <= WINDOW_WORDS)]
 
 
 def stretches(text: str | None, most: int) -> list[bytes]:
@@ -149,12 +165,16 @@ class Distance:
             if len(own):
                 at = np.flatnonzero(known)
                 known[at] = own[np.minimum(np.searchsorted(own, h[at]), len(own) - 1)] == h[at]
-            known = np.concatenate([[0], np.cumsum(known)])
-            last = np.clip(end - k + 1, start, len(known) - 1)
-            out |= known[last] > known[np.minimum(start, len(known) - 1)]
+            out |= within(known, k, start, end)
         return out
 
 
+def within(known: np.ndarray, size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which windows have one of the marked stretches whole."""
+    known = np.concatenate([[0], np.cumsum(known)])
+    return known[np.clip(end - size + 1, start, len(known) - 1)] > known[np.minimum(start, len(known) - 1)]
+
+
 def beyond(count: int, n: int, rate: float) -> float:
     """How far `count` windows out of `n` are beyond what the rate of ordinary texts lets expect; 0 if they are not."""
     expected = n * rate + LEAST_EXPECTED
@@ -162,13 +182,19 @@ def beyond(count: int, n: int, rate: float) -> float:
 
 
 def counted(parts: list[bytes], distance: Distance, thresholds) -> tuple[int, list[int]]:
-    n, found = 0, {}
-    for data in parts:
+    """Windows, and for each threshold the different ones that save as much, from left to right without overlap: a word is in
+    several windows, but it is one finding."""
+    n, found = 0, [set() for _ in thresholds]
+    for data in joined(parts):
         start, end, saved = distance.saved(data)
         n += len(start)
-        at = np.flatnonzero(saved)
-        found.update((data[start[i] : end[i]], saved[i]) for i in at)
-    return n, [sum(int(x >= t) for x in found.values()) for t in thresholds]
+        for t, own in zip(thresholds, found, strict=True):
+            free = 0
+            for i in np.flatnonzero(saved >= t).tolist():
+                if start[i] >= free:
+                    own.add(data[start[i] : end[i]])
+                    free = end[i] - 1
+    return n, [len(own) for own in found]
 
 
 class Toxicity:
@@ -222,19 +248,78 @@ def different(texts: list[list[bytes]]) -> list[list[bytes]]:
     return out
 
 
-def telling(texts: tuple, distance: Distance) -> tuple[list[bytes], list[bytes]]:
-    """Of both classes (lists of stretches) what saves enough, windows that overlap as one piece. Enough is the least saving
-    of which ordinary text has at most CHANCE times as many windows as toxic text, relative to all windows of each."""
-    found = [[(x, *distance.saved(x)) for x in own] for own in texts]
+def openings(data: bytes, size: int) -> np.ndarray:
+    """The different stretches that open a word (or several), with the blank before it, as sorted hashes."""
+    h = grams(data, size)
+    h = np.sort(h[np.frombuffer(data, np.uint8)[: len(h)] == 32])
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def leaning(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
+    """For each size of `GRAMS` the openings (hashes, sorted) that toxic texts have far more often than ordinary ones: in
+    `LEAST_TEXTS` texts, `TIMES` as often, and `LEAN` standard deviations beyond chance, by texts that have them."""
+    out = []
+    for k in GRAMS:
+        (own, x), (plain, y) = (
+            np.unique(np.concatenate([np.zeros(0, np.uint64), *(openings(b"\n".join(text), k) for text in texts)]), return_counts=True)
+            for texts in (toxic, ordinary)
+        )
+        own, x = own[x >= LEAST_TEXTS], x[x >= LEAST_TEXTS]
+        at = np.minimum(np.searchsorted(plain, own), max(0, len(plain) - 1))
+        there = np.where(plain[at] == own, y[at], 0) if len(plain) else np.zeros(len(own))
+        expected = len(toxic) * (there + 0.5) / (len(ordinary) + 1)
+        far = np.sqrt(2 * np.maximum(0, x * np.log(x / expected) - x + expected))
+        out.append((k, own[(x >= TIMES * expected) & (far >= LEAN)]))
+    return out
+
+
+def met(data: bytes, leans: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Whether such a stretch starts at each place, by their sizes."""
+    out = []
+    for k, own in leans:
+        h = grams(data, k)
+        out.append((k, own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h if len(own) else np.zeros(len(h), bool)))
+    return out
+
+
+def leant(data: bytes, leans: list[tuple[int, np.ndarray]]) -> bool:
+    return any(known.any() for _, known in met(data, leans))
+
+
+def cleared(parts: list[bytes], leans: list[tuple[int, np.ndarray]]) -> bytes:
+    """Stretches of text without the words that such a stretch touches."""
+    data = b"\n".join(parts)
+    blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    gone = np.zeros(len(blanks) + 1, np.int64)
+    for k, known in met(data, leans):
+        at = np.flatnonzero(known)
+        np.add.at(gone, np.searchsorted(blanks, at, "right") - 1, 1)
+        np.add.at(gone, np.searchsorted(blanks, at + k - 1), -1)
+    kept = np.flatnonzero(np.cumsum(gone)[: max(0, len(blanks) - 1)] == 0)
+    return b" ".join([b"", *(data[blanks[i] + 1 : blanks[i + 1]] for i in kept.tolist()), b""]).replace(b"\n", b"")
+
+
+def telling(texts: tuple, distance: Distance, leans: list[tuple[int, np.ndarray]]) -> tuple[list[bytes], list[bytes]]:
+    """Of both classes (lists of stretches) what saves enough, of the toxic one with, of the ordinary one without a leaning
+    stretch, windows that overlap as one piece. Enough is the least saving of which ordinary text has at most CHANCE times
+    as many windows with such a stretch as toxic text, relative to all windows of each."""
+    found = [[] for _ in texts]
+    for own, windows in zip(texts, found, strict=True):
+        for data in joined(own):
+            start, end, saved = distance.saved(data)
+            holds = np.zeros(len(start), bool)
+            for k, known in met(data, leans):
+                holds |= within(known, k, start, end)
+            windows.append((data, start, end, saved, holds))
     n = [max(1, sum(len(x[1]) for x in own)) for own in found]
-    share = lambda k, t: sum(int((x[3] >= t).sum()) for x in found[k]) / n[k]
+    share = lambda k, t: sum(int(((x[3] >= t) & x[4]).sum()) for x in found[k]) / n[k]
     least = next((t for t in range(LEAST_TELLING, MOST_TELLING) if share(1, t) <= CHANCE * share(0, t)), MOST_TELLING)
     out = []
-    for own, enough in zip(found, (least, LEAST_TELLING), strict=True):
+    for own, enough, wanted in zip(found, (least, LEAST_TELLING), (True, False), strict=True):
         pieces = []
-        for data, start, end, saved in own:
+        for data, start, end, saved, holds in own:
             last = -1
-            for i in np.flatnonzero(saved >= enough).tolist():
+            for i in np.flatnonzero((saved >= enough) & (holds == wanted)).tolist():
                 a = max(int(start[i]), last)
                 pieces.append(data[a : end[i]])
                 last = int(end[i])
@@ -260,16 +345,18 @@ def fit_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]], n_toxic
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
     half = len(ordinary) // 2
-    base, rest = b"".join(x for text in ordinary[:half] for x in text)[:BASE_BYTES], ordinary[half:]
+    usual, rest = [x for text in ordinary[:half] for x in text], ordinary[half:]
     texts = [(toxic[i::2], rest[i::2]) for i in (0, 1)]
     every = [tuple([x for text in own for x in text] for own in classes) for classes in texts]
-    made = [(b"".join(a), b"".join(b)[: sum(map(len, a))]) for a, b in every]
+    leans = [leaning(a, ordinary[:half] + b) for a, b in texts]
+    bases = [cleared(usual, x)[:BASE_BYTES] for x in leans]
+    made = [(b"".join(a), cleared(b, x)[: sum(map(len, a))]) for (a, b), x in zip(every, leans, strict=True)]
     for _ in range(ROUNDS):
-        kept = [telling(every[i], Distance(base, *made[1 - i])) for i in (0, 1)]
+        kept = [telling(every[i], Distance(bases[1 - i], *made[1 - i]), leans[i]) for i in (0, 1)]
         made = [tuple(map(bounded, x)) for x in kept]
     found, y = [], []
     for i, classes in enumerate(texts):
-        distance = Distance(base, *made[1 - i])
+        distance = Distance(bases[1 - i], *made[1 - i])
         for kind, own in zip((1.0, 0.0), classes, strict=True):
             told = [counted(x, distance, THRESHOLDS) for x in own]
             found += [dict(zip((0, *THRESHOLDS), (n, *over), strict=True)) for n, over in told]
@@ -287,7 +374,9 @@ def fit_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]], n_toxic
         loss = float(-(parts * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
         if best is None or loss < best[0]:
             best = loss, thresholds, rates, weights
-    return base, *(bounded(kept[0][k] + kept[1][k]) for k in (0, 1)), *best[1:]
+    own = leaning(toxic, ordinary)
+    ends = [x for x in kept[0][0] + kept[1][0] if leant(x, own)], [x for x in kept[0][1] + kept[1][1] if not leant(x, own)]
+    return cleared(usual, own)[:BASE_BYTES], *map(bounded, ends), *best[1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_STRETCHES):

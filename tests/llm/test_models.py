@@ -171,7 +171,12 @@ def test_toxicity_by_brute_force(small, odd_list):
                 saved[w] = sizes[1](w) - sizes[0](w)
         x = weights[0]
         for t, r, weight in zip(thresholds, rates, weights[1:], strict=True):
-            k, mu = sum(v >= t for v in saved.values()), len(spans) * r + 0.02
+            told, free = set(), 0
+            for i, w in enumerate(x.encode() for x in spans):
+                if i >= free and saved.get(w, 0) >= t:
+                    told.add(w)
+                    free = i + 3
+            k, mu = len(told), len(spans) * r + 0.02
             hits += k
             x += weight * (math.sqrt(2 * (k * math.log(k / mu) - k + mu)) if k > mu else 0)
         assert math.isclose(model.score(text), 1 / (1 + math.exp(-max(-30, min(30, x)))), rel_tol=1e-9)
