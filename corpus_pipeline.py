@@ -1,6 +1,7 @@
 """The training-data pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-1. language   rows whose language compression cannot tell go (text null, without a letter, or margins too narrow)
+1. language   rows whose language compression cannot tell go (text null, without a letter, or margins too narrow); counts,
+              dictionaries and least margins are of all learning rows
 2. near_dedup of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays
 3. benchmark  rows that contain a benchmark window go
 4. secrets    secrets in the text are replaced by a mark; n_chars follows
@@ -12,6 +13,7 @@ through to stage 4 unchanged, whatever they are called.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,4 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # what a stage left on the driver should not fill its memory in the next: tables, plans, and the broadcasts they hold
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return docs

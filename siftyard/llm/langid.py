@@ -4,15 +4,19 @@ Every language's dictionary is text of that language, in lower case; a text, in
 dictionary, and the language with the smallest sum wins. The relative gap to the second is the margin; below
 `min_margin`, or below the fitted least margin of texts as long as this one, the prediction is marked as rejected.
 
-The least margins are fitted on texts that the dictionaries do not hold, each half of the sample by the other half. A
-text with its own language's dictionary shows right margins, without it those of a language not learned. The least
-margin is what 99 % of the latter stay below, but no more than 99.7 % of the former reach: keeping clean texts comes first.
-
-Fitting reads a bounded sample: up to `SAMPLE_DOCS` documents of each language, chosen by a hash of the row, and of each up
-to `STRETCHES` stretches of `STRETCH` characters, those of smallest hash, from all over the text; they are cut on the
-executors. The first `DICT_STRETCHES` of each are the dictionary, all of which is used; all of them together are the texts of
-the least margins. All else (language counts, prediction) covers all rows and whole texts, and texts of every length are
-compressed with the same settings.
+The least margins are fitted on text that the dictionaries do not hold, each half of the learning rows (by a hash of the text)
+by dictionaries of the other half. A text with its own language's dictionary shows right margins, without it those of a language
+not learned. The least margin is what 99 % of the latter stay below, but no more than 99.7 % of the former reach, of those that
+`MIN_MARGIN` does not reject anyway: keeping clean texts comes first.
+
+Fitting reads every learning row whole, nothing of it is a sample. Three passes: (1) in how many rows of a language each run of
+`GRAM` bytes stands, in `BUCKETS` buckets by hash; (2) every stretch of `STRETCH` bytes of every text stands for election: its score
+is the rows that its different runs stand in, and of the stretches with the same least bucket, and of those with the same
+greatest (near copies of a text share a few), the highest score is a candidate; of the candidates the dictionary takes those whose runs not yet in it stand in most
+rows, `PARTS` of them, which is the size of the model; (3) every text is cut in pieces of `LENGTHS`, the longest that fit
+first, and each different piece has its margins counted, in steps of 1 / `GRID`. Only the last 63 bytes of a text, less than
+the least length, have no margin. The driver gets counts and candidates, never rows. Texts of every length are compressed with the
+same settings.
 
 Edge cases: null text, empty text and text without a letter give `und` with score 0, marked as rejected. Ties go to
 the language with more training rows, then by name. With no labelled row all is `und`. A null doc_id is in fold 0
@@ -24,27 +28,39 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftyard.llm.common import fold, fold_column, read, resident
+from siftyard.llm.hashing import mix, signed
 
 FOLDS = 5
-SAMPLE_DOCS, STRETCH, STRETCHES, DICT_STRETCHES = 160, 240, 18, 3
+#: Bytes of the runs that are counted, buckets of their hashes, bytes of a stretch and stretches of a dictionary.
+GRAM, BUCKET_BITS, STRETCH, PARTS = 6, 18, 240, 480
+BUCKETS = 1 << BUCKET_BITS
+#: Stretches that are scored at once, parts that a table of counts travels in, and languages whose tables a worker holds at once.
+SCORED, CHUNKS, HELD = 4096, 64, 64
+#: Marks the dictionary of both halves (0 and 1).
+WHOLE = 2
+#: Blocks that go through one dictionary after the other: changing it for every block costs more than compressing.
+TOGETHER = 1024
 #: Matches of three bytes are found, by a tree search of 2**SEARCH_LOG steps: short texts need them.
 BLOCK_BYTES, MIN_MATCH, SEARCH_LOG = 4096, 3, 3
 #: Opens every block and ends every dictionary: a block then always compresses, and small gains of short texts show.
 MARK = bytes(range(1, 32)) * 2
 MIN_MARGIN = 0.001
 #: Lengths in bytes that least margins are fitted for (up to a whole block: a text in it is matched with itself too, which
-#: narrows margins; a text goes by the lower bound of the lengths before and after its own), texts that
-#: are fitted on (shared by the languages, LEAST_TEXTS of each at least), and the shares that may lie beyond a bound: of texts
-#: of no learned language, and of texts in their own.
-LENGTHS, CALIBRATE_TEXTS, LEAST_TEXTS, BEYOND, LOST = (64, 128, 256, 512, 1024, 2048, 4096), 400, 10, 0.01, 0.003
+#: narrows margins; a text goes by the lower bound of the lengths before and after its own), and the shares that may lie beyond a
+#: bound: of texts of no learned language, and of texts in their own. Languages count alike but for those of few pieces: FEW
+#: shared by the languages, LEAST_FEW of each at least.
+LENGTHS, GRID, FEW, LEAST_FEW, BEYOND, LOST = (64, 128, 256, 512, 1024, 2048, 4096), 10_000, 400, 10, 0.01, 0.003
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 _LETTER = regex.compile(r"\p{L}")
@@ -56,68 +72,208 @@ class Model(list):
     margins: tuple[tuple[int, float], ...] = ()
 
 
-def stretches(text: str, most: int = STRETCHES) -> list[str]:
-    """Up to `most` stretches of a text, those of smallest hash first."""
-    found = dict.fromkeys(text[i : i + STRETCH] for i in range(0, len(text), STRETCH))
-    return heapq.nsmallest(most, found, key=lambda x: (zlib.crc32(x.encode()), x))
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """(language, dictionary content), the most frequent language first. Two passes: counts, then the sample."""
+def fit(docs: DataFrame) -> Model:
+    """(language, dictionary content), the most frequent language first, and the least margins."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != 0))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()
-    scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, math.ceil(scale * 2 * sample_docs / n)))])
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
+    found = dictionaries(candidates(rows, shared), shared, len(counts))
+    shared.destroy()
+    names = sorted(counts, key=lambda k: (-counts[k], k))
+    own = lambda kind: [(lang, found.get((lang, kind), b"")) for lang in names]
+    out = Model(own(WHOLE))
+    out.margins = calibrate(rows, [own(0), own(1)])
+    return out
+
+
+def learnt(text: str) -> tuple[bytes, int]:
+    """What is learnt from a text, and the half that it is in, with all its copies."""
+    data = text.lower().encode()
+    return data, zlib.crc32(data) & 1
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The bucket of the run of GRAM bytes at each place."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = h << np.uint64(8) | x[k : n + k]
+    return (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
-    def cut(batches):
+
+def frequencies(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Of each language, the rows that each bucket stands in; a last entry, 0, is for places without a run."""
+    step = BUCKETS // CHUNKS
+
+    def told(tables):
+        lang = [x for x in tables for _ in range(CHUNKS)]
+        parts = [t[i : i + step].tobytes() for t in tables.values() for i in range(0, BUCKETS, step)]
+        chunk = pa.array([*range(CHUNKS)] * len(tables), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), chunk, pa.array(parts, pa.binary())], ["lang", "chunk", "counts"])
+
+    def count(batches):
+        tables = {}
         for batch in batches:
-            found = [stretches(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(found, pa.list_(pa.string()))], ["lang", "key", "parts"])
-
-    chosen = rows.filter(key < share[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), key.alias("key"), "text")
-    sample = chosen.mapInArrow(cut, "lang string, key long, parts array<string>").distinct().collect()
-    out, texts = Model(), {}
-    for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        own = sorted((r["key"], tuple(r["parts"])) for r in sample if r["lang"] == lang)[:sample_docs]
-        texts[lang] = list(dict.fromkeys(x for _, x in own))
-        out.append((lang, content_of(texts[lang])))
-    out.margins = calibrate(texts)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if lang not in tables and len(tables) == HELD:
+                    yield told(tables)
+                    tables = {}
+                if lang not in tables:
+                    tables[lang] = np.zeros(BUCKETS, np.uint32)
+                data, size = learnt(text)[0], SCORED * STRETCH
+                if len(data) <= size:
+                    tables[lang][grams(data)] += 1  # once for places of one bucket
+                    continue
+                seen = np.zeros(BUCKETS, bool)
+                for i in range(0, len(data), size):
+                    seen[grams(data[i : i + size + GRAM - 1])] = True
+                tables[lang] += seen
+        yield told(tables)
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"lang": table.column("lang")[:1], "chunk": table.column("chunk")[:1], "counts": pa.array([parts.tobytes()], pa.binary())})
+
+    schema = "lang string, chunk int, counts binary"
+    out: dict[str, np.ndarray] = {}
+    for lang, chunk, counts in rows.mapInArrow(count, schema).groupBy("lang", "chunk").applyInArrow(total, schema).collect():
+        out.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[chunk * step : (chunk + 1) * step] = np.frombuffer(counts, np.int64)
     return out
 
 
-def content_of(texts: list[tuple[str, ...]]) -> bytes:
-    return "\n".join(x for parts in texts for x in parts[:DICT_STRETCHES]).lower().encode()
+def scored(data: bytes, weights: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
+    """Stretch, least bucket (BUCKETS without a run), greatest bucket (-1), score of all stretches of a text."""
+    for i in range(0, len(data), SCORED * STRETCH):
+        part = data[i : i + SCORED * STRETCH]
+        own = [part[k : k + STRETCH] for k in range(0, len(part), STRETCH)]
+        h, found = np.full(len(own) * STRETCH, BUCKETS, np.int32), grams(part)
+        h[: len(found)] = found
+        h = np.sort(h.reshape(len(own), STRETCH)[:, : STRETCH - GRAM + 1], axis=1)
+        worth = weights[h]
+        worth[:, 1:][h[:, 1:] == h[:, :-1]] = 0
+        greatest = np.where(h < BUCKETS, h, -1).max(axis=1)
+        yield from zip(own, h[:, 0].tolist(), greatest.tolist(), worth.sum(axis=1).tolist(), strict=True)
+
 
+def candidates(rows: DataFrame, shared) -> DataFrame:
+    """lang, half, part: of each language and half, the stretch of the highest score for each least and for each greatest bucket;
+    the greater one of equals. `shared` is the broadcast of `frequencies`."""
 
-def calibrate(texts: dict[str, list[tuple[str, ...]]]) -> tuple[tuple[int, float], ...]:
-    """(length, least margin) from the sampled texts of each language. With fewer than three languages, a text without
-    its own has no second one, and there are none."""
-    if len(texts) < 3:
+    def elect(batches):
+        best: dict[tuple, tuple] = {}
+        own = shared.value
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data, half = learnt(text)
+                for part, least, greatest, score in scored(data, own[lang]):
+                    for slot in (least, -2 - greatest):
+                        key = (lang, half, slot)
+                        if key not in best or best[key] < (score, part):
+                            best[key] = (score, part)
+        keys = list(best)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))), *(pa.array([best[k][i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.binary())))],
+            ["lang", "half", "slot", "score", "part"],
+        )
+
+    found = rows.mapInArrow(elect, "lang string, half int, slot int, score long, part binary")
+    return found.groupBy("lang", "half", "slot").agg(F.max(F.struct("score", "part")).alias("x")).select("lang", "half", "x.part").distinct()
+
+
+def dictionaries(found: DataFrame, shared, languages: int) -> dict[tuple[str, int], bytes]:
+    """The dictionary of each language and half, and of both (WHOLE); a task for each."""
+
+    def build(table: pa.Table) -> pa.Table:
+        lang, kind = (table.column(x)[:1] for x in ("lang", "kind"))
+        content = content_of(table.column("part").to_pylist(), shared.value[lang[0].as_py()])
+        return pa.table({"lang": lang, "kind": kind, "content": pa.array([content], pa.binary())})
+
+    each = found.select("lang", F.explode(F.array("half", F.lit(WHOLE))).alias("kind"), "part").repartition(3 * languages, "lang", "kind")
+    return {(r[0], r[1]): bytes(r[2]) for r in each.groupBy("lang", "kind").applyInArrow(build, "lang string, kind int, content binary").collect()}
+
+
+def content_of(parts: list[bytes], weights: np.ndarray) -> bytes:
+    """A dictionary of PARTS stretches: next is always the one whose runs not yet there stand in most rows. The first stands
+    last, where matches are cheapest."""
+    left = weights.copy()
+    runs = {x: np.unique(grams(x)) for x in parts}
+    heap, out = [(-int(left[h].sum()), x) for x, h in runs.items()], []
+    heapq.heapify(heap)
+    while heap and len(out) < PARTS:
+        _, x = heapq.heappop(heap)
+        now = (-int(left[runs[x]].sum()), x)
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+            continue
+        out.append(x)
+        left[runs[x]] = 0
+    return b"\n".join(reversed(out))
+
+
+def pieces(data: bytes) -> list[bytes]:
+    """The text from start to end in different pieces of LENGTHS, the longest that fit first."""
+    out, at = {}, 0
+    for n in reversed(LENGTHS):
+        while len(data) - at >= n:
+            out[data[at : at + n]] = None
+            at += n
+    return list(out)
+
+
+def calibrate(rows: DataFrame, halves: list[list[tuple[str, bytes]]]) -> tuple[tuple[int, float], ...]:
+    """(length, least margin) from all learning rows, each half measured by the dictionaries of the other. With fewer than three
+    languages, a text without its own has no second one, and there are none."""
+    if len(halves[0]) < 3:
         return ()
-    each = max(LEAST_TEXTS, CALIBRATE_TEXTS // len(texts))
-    right, other = {n: [] for n in LENGTHS}, {n: [] for n in LENGTHS}
-    for half in (0, 1):
-        languages = Languages([(lang, content_of(own[half::2])) for lang, own in texts.items()])
-        for lang, own in texts.items():
-            for text in map("".join, own[1 - half :: 2][: each // 2]):
-                for n in LENGTHS:
-                    data = text.lower().encode()[:n]
-                    if len(data) < n or lang not in languages.names or len(languages.names) < 3 or not _LETTER.search(text):
-                        continue
-                    sizes = languages.sizes(data)
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
+
+    def measure(batches):
+        models = resident(("halves", hash(tuple(map(tuple, shared.value)))), lambda: [Languages(x) for x in shared.value])
+        for batch in batches:
+            out, asked = [], ([], [])
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data, half = learnt(text)
+                if lang in models[1 - half].names and len(models[1 - half].names) >= 3:
+                    asked[1 - half].extend((lang, x) for x in pieces(data) if _LETTER.search(x.decode(errors="ignore")))
+            for languages, own in zip(models, asked, strict=True):
+                for (lang, piece), sizes in zip(own, languages.sizes([x for _, x in own]), strict=True):
+                    at = languages.names.index(lang)
                     best, margin = winner(sizes)
-                    if languages.names[best] == lang:
-                        right[n].append(margin)
-                    other[n].append(winner([x for x, k in zip(sizes, languages.names, strict=True) if k != lang])[1])
-    out = []
-    for n in LENGTHS:
-        if right[n] and other[n]:
-            low, high = sorted(right[n]), sorted(other[n])
-            out.append((n, min(low[int(LOST * len(low))], high[int((1 - BEYOND) * (len(high) - 1))])))
-    return tuple(out)
+                    other = winner(sizes[:at] + sizes[at + 1 :])[1]
+                    right = int(margin * GRID) if best == at and margin >= MIN_MARGIN else -1
+                    out.append((lang, len(piece), xxhash.xxh3_64_intdigest(piece), right, int(other * GRID)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            columns[2] = signed(np.array(columns[2], np.uint64))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "n", "piece", "right", "other"])
+
+    every = rows.mapInArrow(measure, "lang string, n int, piece long, right int, other int").distinct()
+    kinds = F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("step")) for x in ("right", "other")])
+    found = every.select("lang", "n", F.explode(kinds).alias("x")).filter("x.step >= 0").groupBy("lang", "n", "x.kind", "x.step").count().collect()
+    return least_margins([tuple(r) for r in found], max(LEAST_FEW, FEW // len(halves[0])))
+
+
+def least_margins(found: list[tuple[str, int, str, int, int]], few: int) -> tuple[tuple[int, float], ...]:
+    """(length, least margin) from (language, length, kind, step, pieces); a language of fewer than `few` pieces counts less."""
+    every: dict[tuple, int] = {}
+    for lang, n, kind, _, count in found:
+        every[lang, n, kind] = every.get((lang, n, kind), 0) + count
+
+    def bound(n, kind, share):
+        steps = sorted((step, lang, count / max(few, every[lang, n, kind])) for lang, m, k, step, count in found if (m, k) == (n, kind))
+        most, below = share * math.fsum(x for *_, x in steps), 0.0
+        for step, _, x in steps:
+            below += x
+            if below > most:
+                return step
+        return steps[-1][0] if steps else None
+
+    bounds = [(n, bound(n, "right", LOST), bound(n, "other", 1 - BEYOND)) for n in LENGTHS]
+    return tuple((n, min(low, high) / GRID) for n, low, high in bounds if low is not None and high is not None)
 
 
 def compressor(content: bytes):
@@ -145,9 +301,16 @@ class Languages:
         self.names = [lang for lang, _ in model]
         self.compress = [compressor(content) for _, content in model]
 
-    def sizes(self, data: bytes) -> list[int]:
-        blocks = [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(f(b)) for b in blocks) for f in self.compress]
+    def sizes(self, datas: list[bytes]) -> Iterator[list[int]]:
+        """Of each of some texts (not empty), the compressed size by each dictionary."""
+        blocks, ends = [], []
+        for k, data in enumerate(datas):
+            blocks += [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+            ends.append(len(blocks))
+            if len(blocks) >= TOGETHER or k == len(datas) - 1:
+                found = [[len(f(b)) for b in blocks] for f in self.compress]
+                yield from ([sum(x[i:j]) for x in found] for i, j in zip([0, *ends], ends, strict=False))
+                blocks, ends = [], []
 
     def least(self, text: str | None) -> float:
         """The least margin of texts as long as this one; none (0) for texts shorter than all that were fitted."""
@@ -155,15 +318,17 @@ class Languages:
         before = [x for n, x in self.margins if n <= size]
         return min([before[-1], *[x for n, x in self.margins if n > size][:1]]) if before else 0.0
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score, margin."""
-        if not text or not self.names or not _LETTER.search(text):
-            return "und", 0.0, 0.0
-        sizes = self.sizes(text.lower().encode())
-        if len(sizes) == 1:
-            return self.names[0], 1.0, 1.0
-        best, margin = winner(sizes)
-        return self.names[best], 1 - math.exp(-30 * margin), margin
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score, margin of each text."""
+        spoken = [bool(x and self.names and _LETTER.search(x)) for x in texts]
+        if len(self.names) == 1:
+            return [(self.names[0], 1.0, 1.0) if x else ("und", 0.0, 0.0) for x in spoken]
+        sizes = self.sizes([t.lower().encode() for t, x in zip(texts, spoken, strict=True) if x])
+        out = []
+        for x in spoken:
+            best, margin = winner(next(sizes)) if x else (0, 0.0)
+            out.append((self.names[best], 1 - math.exp(-30 * margin), margin) if x else ("und", 0.0, 0.0))
+        return out
 
 
 def _model(shared) -> Languages:
@@ -180,7 +345,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
         languages = _model(shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [languages.predict(x) for x in texts]
+            found = languages.predict(texts)
             pred = pa.array([x[0] for x in found], pa.string())
             rejected = pa.array([x[0] == "und" or x[2] < max(min_margin, languages.least(t)) for t, x in zip(texts, found, strict=True)], pa.bool_())
             if keep:
