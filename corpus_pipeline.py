@@ -13,14 +13,13 @@ through to stage 4 unchanged, whatever they are called.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftyard.llm import bpe, decontaminate, langid, near_dedup, secrets
-from siftyard.llm.common import plainly, read, shared_dir
+from siftyard.llm.common import plainly, read, shared_dir, tidy
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         # what a stage left on the driver should not fill its memory in the next: tables, plans, and the broadcasts they hold
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
     return docs

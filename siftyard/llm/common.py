@@ -97,6 +97,14 @@ def written(df: DataFrame, name: str, tell: bool = False):
     return (found, path) if tell else found
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives back what is garbage on the driver: Python's objects, and with them the plans they hold, then the JVM's heap, which
+    shrinks to what is left in use, and the broadcasts and shuffles that Spark's cleaner finds. Between queries of
+    a job of many plans; the heap of the driver grows to its limit otherwise, whatever is in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
