@@ -16,7 +16,8 @@ greatest (near copies of a text share a few), the highest score is a candidate;
 rows, `PARTS` of them, which is the size of the model; (3) every text is cut in pieces of `LENGTHS`, the longest that fit
 first, and each different piece has its margins counted, in steps of 1 / `GRID`. Only the last 63 bytes of a text, less than
 the least length, have no margin. The driver gets counts and candidates, never rows. Texts of every length are compressed with the
-same settings.
+same settings. Nearly all the time goes into compressing, so a worker keeps the sizes of the last blocks, and a block that it meets
+again (copies, common openings) is not compressed again.
 
 Edge cases: null text, empty text and text without a letter give `und` with score 0, marked as rejected. Ties go to
 the language with more training rows, then by name. With no labelled row all is `und`. A null doc_id is in fold 0
@@ -25,7 +26,7 @@ when its crc32 of the empty text is 0 modulo the number of folds, as any id. Rep
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -45,12 +46,17 @@ FOLDS = 5
 #: Bytes of the runs that are counted, buckets of their hashes, bytes of a stretch and stretches of a dictionary.
 GRAM, BUCKET_BITS, STRETCH, PARTS = 6, 18, 240, 480
 BUCKETS = 1 << BUCKET_BITS
-#: Stretches that are scored at once, parts that a table of counts travels in, and languages whose tables a worker holds at once.
+#: Stretches of a text whose runs are counted at once, parts that a table of counts travels in, and languages whose tables a worker
+#: holds at once.
 SCORED, CHUNKS, HELD = 4096, 64, 64
+#: Stretches, of several texts, that are scored side by side: as many as stay in a core's cache.
+SIDE_BY_SIDE = 256
 #: Marks the dictionary of both halves (0 and 1).
 WHOLE = 2
 #: Blocks that go through one dictionary after the other: changing it for every block costs more than compressing.
 TOGETHER = 1024
+#: Sizes that a worker keeps, of blocks times languages (some 90 bytes each); it starts anew beyond them.
+KNOWN = 1 << 18
 #: Matches of three bytes are found, by a tree search of 2**SEARCH_LOG steps: short texts need them.
 BLOCK_BYTES, MIN_MATCH, SEARCH_LOG = 4096, 3, 3
 #: Opens every block and ends every dictionary: a block then always compresses, and small gains of short texts show.
@@ -76,10 +82,10 @@ def fit(docs: DataFrame) -> Model:
     """(language, dictionary content), the most frequent language first, and the least margins."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != 0))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    weights, counts = counted(rows)
     if not counts:
         return Model()
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     found = dictionaries(candidates(rows, shared), shared, len(counts))
     shared.destroy()
     names = sorted(counts, key=lambda k: (-counts[k], k))
@@ -95,24 +101,28 @@ def learnt(text: str) -> tuple[bytes, int]:
     return data, zlib.crc32(data) & 1
 
 
-def grams(data: bytes) -> np.ndarray:
+def grams(data: bytes, kind: type = np.int32) -> np.ndarray:
     """The bucket of the run of GRAM bytes at each place."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = max(0, len(x) - GRAM + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = h << np.uint64(8) | x[k : n + k]
-    return (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    n = max(0, len(data) - GRAM + 1)
+    x = np.ndarray(n, "<u8", data + bytes(8), strides=(1,)).astype(np.uint64)  # eight bytes from each place on
+    x.byteswap(inplace=True)
+    x >>= np.uint64(64 - 8 * GRAM)
+    return (mix(x) >> np.uint64(64 - BUCKET_BITS)).astype(kind)
 
 
 def frequencies(rows: DataFrame) -> dict[str, np.ndarray]:
     """Of each language, the rows that each bucket stands in; a last entry, 0, is for places without a run."""
+    return counted(rows)[0]
+
+
+def counted(rows: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """What `frequencies` gives, and the rows of each language, which travel as one part more."""
     step = BUCKETS // CHUNKS
 
     def told(tables):
-        lang = [x for x in tables for _ in range(CHUNKS)]
-        parts = [t[i : i + step].tobytes() for t in tables.values() for i in range(0, BUCKETS, step)]
-        chunk = pa.array([*range(CHUNKS)] * len(tables), pa.int32())
+        lang = [x for x in tables for _ in range(CHUNKS + 1)]
+        parts = [t[i : i + step].tobytes() for t in tables.values() for i in range(0, BUCKETS + 1, step)]
+        chunk = pa.array([*range(CHUNKS + 1)] * len(tables), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), chunk, pa.array(parts, pa.binary())], ["lang", "chunk", "counts"])
 
     def count(batches):
@@ -123,12 +133,14 @@ def frequencies(rows: DataFrame) -> dict[str, np.ndarray]:
                     yield told(tables)
                     tables = {}
                 if lang not in tables:
-                    tables[lang] = np.zeros(BUCKETS, np.uint32)
-                data, size = learnt(text)[0], SCORED * STRETCH
+                    tables[lang] = np.zeros(BUCKETS + 1, np.uint32)
+                tables[lang][BUCKETS] += 1
+                data, size = text.lower().encode(), SCORED * STRETCH
                 if len(data) <= size:
-                    tables[lang][grams(data)] += 1  # once for places of one bucket
+                    at = grams(data, np.intp)
+                    tables[lang][at] = tables[lang].take(at, mode="clip") + np.uint32(1)  # once for places of one bucket
                     continue
-                seen = np.zeros(BUCKETS, bool)
+                seen = np.zeros(BUCKETS + 1, bool)
                 for i in range(0, len(data), size):
                     seen[grams(data[i : i + size + GRAM - 1])] = True
                 tables[lang] += seen
@@ -140,22 +152,36 @@ def frequencies(rows: DataFrame) -> dict[str, np.ndarray]:
 
     schema = "lang string, chunk int, counts binary"
     out: dict[str, np.ndarray] = {}
+    size: dict[str, int] = {}
     for lang, chunk, counts in rows.mapInArrow(count, schema).groupBy("lang", "chunk").applyInArrow(total, schema).collect():
+        if chunk == CHUNKS:
+            (size[lang],) = np.frombuffer(counts, np.int64).tolist()
+            continue
         out.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[chunk * step : (chunk + 1) * step] = np.frombuffer(counts, np.int64)
-    return out
-
-
-def scored(data: bytes, weights: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
-    """Stretch, least bucket (BUCKETS without a run), greatest bucket (-1), score of all stretches of a text."""
-    for i in range(0, len(data), SCORED * STRETCH):
-        part = data[i : i + SCORED * STRETCH]
-        own = [part[k : k + STRETCH] for k in range(0, len(part), STRETCH)]
-        h, found = np.full(len(own) * STRETCH, BUCKETS, np.int32), grams(part)
-        h[: len(found)] = found
-        h = np.sort(h.reshape(len(own), STRETCH)[:, : STRETCH - GRAM + 1], axis=1)
-        worth = weights[h]
-        worth[:, 1:][h[:, 1:] == h[:, :-1]] = 0
-        greatest = np.where(h < BUCKETS, h, -1).max(axis=1)
+    return out, size
+
+
+def sorted_runs(own: list[bytes]) -> np.ndarray:
+    """A row for each stretch (none empty) with the buckets of its runs, sorted; BUCKETS fills the rows of shorter ones."""
+    places = np.fromiter(map(len, own), np.intp, len(own)) - GRAM + 1
+    short = np.flatnonzero(places < STRETCH - GRAM + 1)
+    h = grams(b"".join(x.ljust(STRETCH, b"\0") for x in own) + bytes(GRAM - 1)).reshape(len(own), STRETCH)[:, : STRETCH - GRAM + 1]
+    h[short] = np.where(np.arange(h.shape[1]) < places[short, None], h[short], BUCKETS)
+    return np.sort(h, axis=1)
+
+
+def scored(datas: bytes | list[bytes], weights: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
+    """Stretch, least bucket (BUCKETS without a run), greatest bucket (-1), score of all stretches of a text, or of several."""
+    datas = [datas] if isinstance(datas, bytes) else datas
+    weights = weights.astype(np.uint32) if weights.max() < 1 << 32 else weights  # half the memory to look up in
+    every = (data[k : k + STRETCH] for data in datas for k in range(0, len(data), STRETCH))
+    while own := list(itertools.islice(every, SIDE_BY_SIDE)):
+        h = sorted_runs(own)
+        greatest = h[:, -1].copy()
+        short = np.flatnonzero(greatest == BUCKETS)
+        greatest[short] = np.where(h[short] < BUCKETS, h[short], -1).max(axis=1)
+        worth = weights.take(h, mode="clip")
+        worth[:, 1:] *= h[:, 1:] != h[:, :-1]
         yield from zip(own, h[:, 0].tolist(), greatest.tolist(), worth.sum(axis=1).tolist(), strict=True)
 
 
@@ -164,21 +190,23 @@ def candidates(rows: DataFrame, shared) -> DataFrame:
     the greater one of equals. `shared` is the broadcast of `frequencies`."""
 
     def elect(batches):
-        best: dict[tuple, tuple] = {}
+        best: dict[tuple, dict] = {}
         own = shared.value
         for batch in batches:
+            asked: dict[tuple, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data, half = learnt(text)
-                for part, least, greatest, score in scored(data, own[lang]):
+                asked.setdefault((lang, half), []).append(data)
+            for key, datas in asked.items():
+                slots = best.setdefault(key, {})
+                for part, least, greatest, score in scored(datas, own[key[0]]):
+                    found = (score, part)
                     for slot in (least, -2 - greatest):
-                        key = (lang, half, slot)
-                        if key not in best or best[key] < (score, part):
-                            best[key] = (score, part)
-        keys = list(best)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))), *(pa.array([best[k][i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.binary())))],
-            ["lang", "half", "slot", "score", "part"],
-        )
+                        if slots.get(slot, (-1,)) < found:
+                            slots[slot] = found
+        columns = list(zip(*((*key, slot, *x) for key, slots in best.items() for slot, x in slots.items()), strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "half", "slot", "score", "part"])
 
     found = rows.mapInArrow(elect, "lang string, half int, slot int, score long, part binary")
     return found.groupBy("lang", "half", "slot").agg(F.max(F.struct("score", "part")).alias("x")).select("lang", "half", "x.part").distinct()
@@ -197,20 +225,28 @@ def dictionaries(found: DataFrame, shared, languages: int) -> dict[tuple[str, in
 
 
 def content_of(parts: list[bytes], weights: np.ndarray) -> bytes:
-    """A dictionary of PARTS stretches: next is always the one whose runs not yet there stand in most rows. The first stands
-    last, where matches are cheapest."""
-    left = weights.copy()
-    runs = {x: np.unique(grams(x)) for x in parts}
-    heap, out = [(-int(left[h].sum()), x) for x, h in runs.items()], []
-    heapq.heapify(heap)
-    while heap and len(out) < PARTS:
-        _, x = heapq.heappop(heap)
-        now = (-int(left[runs[x]].sum()), x)
-        if heap and now > heap[0]:
-            heapq.heappush(heap, now)
+    """A dictionary of PARTS stretches: next is always the one whose runs not yet there stand in most rows, the smallest one of equals.
+    The first stands last, where matches are cheapest."""
+    left, out, parts = weights.copy(), [], sorted(set(parts))
+    runs, worth = np.empty((len(parts), STRETCH - GRAM + 1), np.int32), np.empty(len(parts), np.int64)
+    for i in range(0, len(parts), SIDE_BY_SIDE):
+        some = slice(i, i + SIDE_BY_SIDE)
+        h = sorted_runs(parts[some])
+        runs[some] = h
+        runs[some, 1:][h[:, 1:] == h[:, :-1]] = BUCKETS
+        worth[some] = left.take(runs[some], mode="clip").sum(axis=1)
+    # worth only falls, so what it was is an upper bound; `known` is for how many parts taken it was last found
+    known, most = np.zeros(len(parts), np.int64), min(SIDE_BY_SIDE, len(parts))
+    while len(out) < min(PARTS, len(parts)):
+        first = int(worth.argmax())
+        if known[first] == len(out):
+            out.append(parts[first])
+            left[runs[first]] = 0
+            worth[first] = -1
             continue
-        out.append(x)
-        left[runs[x]] = 0
+        at = np.append(np.argpartition(worth, len(parts) - most)[-most:], first)
+        at = at[worth[at] >= 0]
+        worth[at], known[at] = left.take(runs[at], mode="clip").sum(axis=1), len(out)
     return b"\n".join(reversed(out))
 
 
@@ -234,22 +270,25 @@ def calibrate(rows: DataFrame, halves: list[list[tuple[str, bytes]]]) -> tuple[t
     def measure(batches):
         models = resident(("halves", hash(tuple(map(tuple, shared.value)))), lambda: [Languages(x) for x in shared.value])
         for batch in batches:
-            out, asked = [], ([], [])
+            asked: tuple[list, list] = ([], [])
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data, half = learnt(text)
-                if lang in models[1 - half].names and len(models[1 - half].names) >= 3:
-                    asked[1 - half].extend((lang, x) for x in pieces(data) if _LETTER.search(x.decode(errors="ignore")))
+                names = models[1 - half].names
+                if lang in names and len(names) >= 3:
+                    at = names.index(lang)
+                    asked[1 - half].extend((at, x) for x in pieces(data) if _LETTER.search(x.decode(errors="ignore")))
             for languages, own in zip(models, asked, strict=True):
-                for (lang, piece), sizes in zip(own, languages.sizes([x for _, x in own]), strict=True):
-                    at = languages.names.index(lang)
-                    best, margin = winner(sizes)
-                    other = winner(sizes[:at] + sizes[at + 1 :])[1]
-                    right = int(margin * GRID) if best == at and margin >= MIN_MARGIN else -1
-                    out.append((lang, len(piece), xxhash.xxh3_64_intdigest(piece), right, int(other * GRID)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            columns[2] = signed(np.array(columns[2], np.uint64))
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "n", "piece", "right", "other"])
+                if not own:
+                    continue
+                at, parts = np.array([k for k, _ in own]), [x for _, x in own]
+                sizes = np.array([x for i in range(0, len(parts), TOGETHER) for x in languages.blocks(parts[i : i + TOGETHER])], np.int64)
+                margin, best = gaps(sizes), sizes.argmin(axis=1)
+                right = np.where((best == at) & (margin >= MIN_MARGIN), (margin * GRID).astype(np.int32), -1)
+                sizes[np.arange(len(own)), at] = np.iinfo(np.int64).max
+                n = np.fromiter(map(len, parts), np.int32, len(own))
+                piece = signed(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(own)))
+                columns = (pa.array(languages.names, pa.string()).take(pa.array(at)), n, piece, right.astype(np.int32), (gaps(sizes) * GRID).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["lang", "n", "piece", "right", "other"])
 
     every = rows.mapInArrow(measure, "lang string, n int, piece long, right int, other int").distinct()
     kinds = F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("step")) for x in ("right", "other")])
@@ -289,45 +328,61 @@ def compressor(content: bytes):
 
 def winner(sizes: list[int]) -> tuple[int, float]:
     """The place of the smallest size (two at least), and the relative gap to the second."""
-    best = min(range(len(sizes)), key=sizes.__getitem__)
-    second = min(x for i, x in enumerate(sizes) if i != best)
+    best = sizes.index(min(sizes))
+    second = min(sizes[:best] + sizes[best + 1 :])
     return best, (second - sizes[best]) / second
 
 
+def gaps(sizes: np.ndarray) -> np.ndarray:
+    """The margin of `winner` for each row of sizes."""
+    two = np.partition(sizes, 1, axis=1)
+    return (two[:, 1] - two[:, 0]) / two[:, 1]
+
+
 class Languages:
     def __init__(self, model: list[tuple[str, bytes]]):
         self.margins = getattr(model, "margins", ())
         model = [(lang, content) for lang, content in model if len(content) >= 8]
         self.names = [lang for lang, _ in model]
         self.compress = [compressor(content) for _, content in model]
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def blocks(self, blocks: list[bytes]) -> list[tuple[int, ...]]:
+        """Of each block the compressed size by each dictionary; blocks met before, by a 128-bit hash, are not compressed again."""
+        if len(self.known) * len(self.compress) > KNOWN:
+            self.known.clear()
+        keys = [xxhash.xxh3_128_digest(x) for x in blocks]
+        new = {k: MARK + x for k, x in zip(keys, blocks, strict=True) if k not in self.known}
+        self.known.update(zip(new, zip(*([len(f(x)) for x in new.values()] for f in self.compress), strict=True)))
+        return [self.known[k] for k in keys]
 
     def sizes(self, datas: list[bytes]) -> Iterator[list[int]]:
         """Of each of some texts (not empty), the compressed size by each dictionary."""
         blocks, ends = [], []
         for k, data in enumerate(datas):
-            blocks += [MARK + data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+            blocks += [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
             ends.append(len(blocks))
             if len(blocks) >= TOGETHER or k == len(datas) - 1:
-                found = [[len(f(b)) for b in blocks] for f in self.compress]
-                yield from ([sum(x[i:j]) for x in found] for i, j in zip([0, *ends], ends, strict=False))
+                found = self.blocks(blocks)
+                yield from (list(found[i]) if j - i == 1 else [sum(x) for x in zip(*found[i:j], strict=True)] for i, j in zip([0, *ends], ends, strict=False))
                 blocks, ends = [], []
 
-    def least(self, text: str | None) -> float:
-        """The least margin of texts as long as this one; none (0) for texts shorter than all that were fitted."""
-        size = len(text.lower().encode()) if text and self.margins else 0
+    def least(self, size: int) -> float:
+        """The least margin of texts of so many bytes; none (0) for texts shorter than all that were fitted."""
         before = [x for n, x in self.margins if n <= size]
         return min([before[-1], *[x for n, x in self.margins if n > size][:1]]) if before else 0.0
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, score, margin of each text."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """Language, score, margin of each text, and the least margin of texts as long."""
         spoken = [bool(x and self.names and _LETTER.search(x)) for x in texts]
+        datas = [t.lower().encode() if x else b"" for t, x in zip(texts, spoken, strict=True)]
         if len(self.names) == 1:
-            return [(self.names[0], 1.0, 1.0) if x else ("und", 0.0, 0.0) for x in spoken]
-        sizes = self.sizes([t.lower().encode() for t, x in zip(texts, spoken, strict=True) if x])
+            return [(self.names[0], 1.0, 1.0, self.least(len(x))) if x else ("und", 0.0, 0.0, 0.0) for x in datas]
+        sizes = self.sizes([x for x in datas if x])
         out = []
-        for x in spoken:
+        for x in datas:
             best, margin = winner(next(sizes)) if x else (0, 0.0)
-            out.append((self.names[best], 1 - math.exp(-30 * margin), margin) if x else ("und", 0.0, 0.0))
+            out.append((self.names[best], 1 - math.exp(-30 * margin), margin, self.least(len(x))) if x else ("und", 0.0, 0.0, 0.0))
         return out
 
 
@@ -344,10 +399,9 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
     def run(batches):
         languages = _model(shared)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = languages.predict(texts)
+            found = languages.predict(batch.column("text").to_pylist())
             pred = pa.array([x[0] for x in found], pa.string())
-            rejected = pa.array([x[0] == "und" or x[2] < max(min_margin, languages.least(t)) for t, x in zip(texts, found, strict=True)], pa.bool_())
+            rejected = pa.array([x[0] == "und" or x[2] < max(min_margin, x[3]) for x in found], pa.bool_())
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pred, rejected], [*batch.schema.names, "__lang_pred", "__rejected"])
                 continue

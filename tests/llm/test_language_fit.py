@@ -155,3 +155,50 @@ def test_near_copies_do_not_fill_a_dictionary(spark):
     source = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(copies + plain)], "doc_id long, text string, lang string")
     ((_, content),) = langid.fit(source)
     assert all(x.encode() in content for x in common)
+
+
+def test_blocks_met_before_are_not_compressed_again(monkeypatch):
+    """Copies and common openings cost one compression by each dictionary, and sizes stay what they are one by one."""
+    rnd = random.Random(4)
+    model = [(lang, made(rnd, 300).encode()) for lang in ("aa", "bb", "cc")]
+    opening, texts = made(rnd, 1200).encode()[:4096], [made(rnd, n).encode() for n in (1, 20, 2000)]
+    texts = [*texts, opening + texts[0], opening + texts[1], *texts, opening, texts[2][:4096]] * 2
+    expected = [next(langid.Languages(model).sizes([x])) for x in texts]
+    for most in (langid.KNOWN, 4):
+        monkeypatch.setattr(langid, "KNOWN", most)
+        languages, asked = langid.Languages(model), []
+        languages.compress = [lambda x, f=f: (asked.append(x), f(x))[1] for f in languages.compress]
+        assert [*languages.sizes(texts[:9]), *languages.sizes(texts[9:])] == expected
+        if most > 4:
+            assert len(asked) == 3 * len({x[i : i + 4096] for x in texts for i in range(0, len(x), 4096)})
+
+
+def test_fit_reads_every_row_three_times(learning, spark):
+    """Counts (of runs and of rows), stretches, margins."""
+    docs, *_ = learning
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    model = langid.fit(docs.mapInArrow(told, docs.schema))
+    assert read.value == 3 * docs.count()
+    assert list(model) == list(langid.fit(docs)) and model.margins == langid.fit(docs).margins
+
+
+def test_stretches_of_a_dictionary_by_brute_force():
+    """Always the stretch whose runs not yet there stand in most rows, the smallest of equals."""
+    rnd = random.Random(5)
+    for letters, n in (("ab", 700), ("abcdefgh", 900), ("ab", 3)):
+        parts = list({"".join(rnd.choice(letters) for _ in range(rnd.choice((3, 6, 40, 240)))).encode() for _ in range(n)})
+        weights = langid.np.zeros(langid.BUCKETS + 1, langid.np.int64)
+        for b in set().union(*map(runs, parts)):
+            weights[b] = rnd.randint(1, 3)
+        left, rest, expected = weights.copy(), {x: sorted(runs(x)) for x in parts}, []
+        while rest and len(expected) < langid.PARTS:
+            x = min(rest, key=lambda x: (-left[rest[x]].sum(), x))
+            expected.append(x)
+            left[rest.pop(x)] = 0
+        assert langid.content_of(parts, weights) == b"\n".join(reversed(expected))
