@@ -54,7 +54,7 @@ SIDE_BY_SIDE = 256
 #: Marks the dictionary of both halves (0 and 1).
 WHOLE = 2
 #: Blocks that go through one dictionary after the other: changing it for every block costs more than compressing.
-TOGETHER = 1024
+TOGETHER = 4096
 #: Sizes that a worker keeps, of blocks times languages (some 90 bytes each); it starts anew beyond them.
 KNOWN = 1 << 18
 #: Matches of three bytes are found, by a tree search of 2**SEARCH_LOG steps: short texts need them.
