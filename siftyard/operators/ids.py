@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftyard.session import checkpointed
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str] | list[Column], name: str = "id", start: int = 0) -> DataFrame:
     """Adds consecutive ids in the order of `order` without sending all rows to one task: a range-partitioned sort, the
     row's place in its partition, and the rows of earlier partitions, one number for each partition.
 
