@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,8 @@ from siftyard.operators.dedup import chained_fingerprints
 
 #: Savings (bytes) beyond which a full block may grow to twice its size.
 SAVINGS = 0x3FFFF
+#: Bytes of blocks that a Python worker holds before it hands them over.
+PIECE = 1 << 22
 
 
 def fingerprint_text(date: Column, kind: Column, index: Column, magic: str = "##") -> Column:
@@ -54,45 +57,61 @@ def pack_zstd(rows: DataFrame, group: str, order: str, payload: str, block_bytes
     beyond that, while compression has saved more than SAVINGS, up to twice as much, once."""
 
     def run(batches):
-        open_block: dict = {}
+        at, block, o, done, held = None, -1, None, [], 0
+        schema = pa.schema([("group", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("raw_size", pa.int64()), ("data", pa.binary())])
 
-        def flush(g):
-            o = open_block.pop(g)
-            return g, o["block"], o["n"], o["raw"], b"".join(o["out"]) + o["c"].flush()
+        def flush():
+            nonlocal o, held
+            if o:
+                done.append((at, block, o["n"], o["raw"], b"".join(o["out"]) + o["c"].flush()))
+                held += len(done[-1][-1])
+            o = None
 
-        def table(found):
-            return pa.RecordBatch.from_pydict({k: [x[i] for x in found] for i, k in enumerate(("group", "block", "n", "raw_size", "data"))}, schema=schema)
+        def table():
+            nonlocal held
+            found = pa.RecordBatch.from_pydict({k: [x[i] for x in done] for i, k in enumerate(schema.names)}, schema=schema)
+            done.clear()
+            held = 0
+            return found
 
-        schema = pa.schema([("group", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("raw_size", pa.int64()), ("data", pa.binary())])
-        blocks: dict = {}
         for batch in batches:
-            done = []
-            for g, data in zip(batch.column(group).to_pylist(), batch.column(payload).to_pylist(), strict=True):
-                data = data or b""
-                for other in [x for x in open_block if x != g]:  # sorted by group: others are complete
-                    done.append(flush(other))
-                o = open_block.get(g)
+            for g, data in zip(batch.column(group), batch.column(payload), strict=True):  # one row at a time: a batch may be large
+                g, data = g.as_py(), data.as_py() or b""
+                if g != at:  # sorted by group: the one before is complete
+                    flush()
+                    at, block = g, -1
                 if o and o["raw"] + len(data) > block_bytes:
                     saved = o["raw"] - sum(map(len, o["out"]))
                     if not (saved > SAVINGS and o["raw"] + len(data) <= 2 * block_bytes):
-                        done.append(flush(g))
-                        o = None
+                        flush()
                 if o is None:
-                    blocks[g] = blocks.get(g, -1) + 1
-                    o = open_block[g] = {"block": blocks[g], "n": 0, "raw": 0, "out": [], "c": zstandard.ZstdCompressor(level=level, write_checksum=True).compressobj()}
+                    block += 1
+                    o = {"n": 0, "raw": 0, "out": [], "c": zstandard.ZstdCompressor(level=level, write_checksum=True).compressobj()}
                 o["out"].append(o["c"].compress(data))
                 o["n"] += 1
                 o["raw"] += len(data)
-            yield table(done)
-        yield table([flush(g) for g in list(open_block)])
+                if held >= PIECE:
+                    yield table()
+        flush()
+        yield table()
 
     source = rows.select(F.col(group).cast("long").alias(group), order, F.col(payload).cast("binary").alias(payload))
     return source.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, "group long, block long, n long, raw_size long, data binary")
 
 
-@F.pandas_udf(T.BinaryType())
-def unpack_zstd(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(bytes(x)))
+@F.arrow_udf(T.BinaryType())
+def unpack_zstd(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What is in the frames. A batch has thousands of blocks: they are unpacked one at a time and handed over in pieces."""
+    for frames in data:
+        out, held = [], 0
+        for x in frames:
+            out.append(zstandard.ZstdDecompressor().decompressobj().decompress(x.as_buffer()) if x.is_valid else None)
+            held += len(out[-1] or b"")
+            if held >= PIECE:
+                yield pa.array(out, pa.binary())
+                out, held = [], 0
+        if out:
+            yield pa.array(out, pa.binary())
 
 
 @F.pandas_udf(T.BinaryType())

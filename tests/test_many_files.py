@@ -1,12 +1,15 @@
-"""Queries over a table of many files, and over odd rows, against their SQL."""
+"""Queries over a table of many files, over odd rows, and over large batches, against their SQL or by their memory."""
 
 import os
+import tracemalloc
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from helpers import plain
 
 from siftyard import plans
+from siftyard.operators import blocks
 
 
 def documents(folder, parts: list[list[tuple]]) -> str:
@@ -47,3 +50,30 @@ def test_compact_sizes_of_odd_rows(spark, tmp_path):
 def test_compact_codes_without_null_texts(spark, tmp_path):
     at = documents(tmp_path, [[(1, "Ёж"), (2, None)], [(3, "é€😀")]])
     same(plans.QUERIES["utf8rus_encode"](spark, at), plans.ORACLES["utf8rus_encode"], at)
+
+
+def test_packing_hands_over_in_pieces(spark, monkeypatch):
+    """One batch of 24 MB that does not compress: no more than a piece and a block is held, and nothing is lost."""
+    df, caught = spark.createDataFrame([], "g long, i int, t string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: caught.append(f))
+    blocks.pack_zstd(df, "g", "i", "t", 262144)
+    texts = [os.urandom(300_000) for _ in range(80)]
+    batch = pa.RecordBatch.from_pydict({"g": [k // 40 for k in range(80)], "i": list(range(80)), "t": texts})
+    found = list(caught[0](iter([batch])))
+    assert max(x.nbytes for x in found) < blocks.PIECE + 2 * 262144 + 4096 and len(found) > 4
+    rows = [r for x in found for r in x.to_pylist()]
+    assert [(r["group"], r["block"], r["n"], r["raw_size"]) for r in rows] == [(k // 40, k % 40, 1, 300_000) for k in range(80)]
+    assert [zstandard.ZstdDecompressor().decompressobj().decompress(r["data"]) for r in rows] == texts
+
+
+def test_unpacking_holds_a_piece():
+    """One batch of 96 frames, 96 MB when unpacked."""
+    frames = pa.array([zstandard.ZstdCompressor().compress(bytes([k]) * (1 << 20)) for k in range(96)] + [None])
+    tracemalloc.start()
+    before, sizes = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes(), []
+    for piece in blocks.unpack_zstd.func(iter([frames])):
+        held = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+        assert held < 4 * blocks.PIECE
+        sizes += [len(x.as_py() or b"") for x in piece]
+    tracemalloc.stop()
+    assert sizes == [1 << 20] * 96 + [0]
